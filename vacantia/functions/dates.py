@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.pay import number_from_text
 from vacantia.functions.text import trim_ws
 
+_COMMON = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?([+-]\d{2}:\d{2})?)?$"
 _ISO = (
     r"^(\d{4})-?(\d{2})-?(\d{2})"
     r"(?:[^\d](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
@@ -31,7 +32,8 @@ def parse_iso(c: Column) -> Column:
         part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), F.lit("."),
         F.substring(part(7, "0"), 1, 6), part(8, "+00"), F.lit(":"), part(9, "00"),
     )
-    return F.when(text.rlike(_ISO), rebuilt.try_cast("timestamp"))
+    # The usual forms cast as they are; only the compact and abbreviated ones are rebuilt.
+    return F.when(text.rlike(_COMMON), text.try_cast("timestamp")).when(text.rlike(_ISO), rebuilt.try_cast("timestamp"))
 
 
 def parse_relative_posted(c: Column, now: Column) -> Column:

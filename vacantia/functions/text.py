@@ -15,8 +15,9 @@ WS = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f
 _PLAIN_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&middot;", "·"),
 )
-_ONLY_PLAIN = "&(?!(?:lt|gt|quot|#39|#x27|apos|nbsp|copy|mdash|ndash|amp);)[#A-Za-z]"
+_ONLY_PLAIN = "&(?!(?:lt|gt|quot|#39|#x27|apos|nbsp|copy|mdash|ndash|middot|amp);)[#A-Za-z]"
 
 
 def lit_or_col(value) -> Column:
@@ -24,6 +25,11 @@ def lit_or_col(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def falsy_to_null(c: Column) -> Column:
     """Empty text as NULL, so that ``coalesce`` acts like an ``or`` chain."""
     return F.nullif(c, F.lit(""))
