@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars",)
+_MODULES = ("scalars", "filters", "merging")
 
 
 def catalog() -> dict:
