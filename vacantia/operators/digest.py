@@ -27,19 +27,19 @@ def source_health(log: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFr
     """Per enabled source: ok, count, error, near_empty.
 
     ``log``: source, board, board_ord, ok, error per fetched board; ``rows``: postings kept per
-    source (source, n); ``sources``: the registry (source, source_ord, boards_failed_text flag
-    ``is_scraped``). A board feed fails only when every board failed."""
+    source (source, n); ``sources``: the registry (source, source_ord, is_scraped). A board feed
+    fails only when every board failed; only then are its board names put into the message."""
     per = log.groupBy("source").agg(
         F.count(F.lit(1)).alias("boards"),
-        F.count_if(~F.col("ok")).alias("failed"),
+        F.count_if(~F.col("ok")).alias("bad"),
         F.min_by("error", F.when(~F.col("ok"), F.col("board_ord"))).alias("first_error"),
-        # Board names of the registry, one short string per configured board.
-        F.array_join(F.transform(
-            F.array_sort(F.collect_set(F.when(~F.col("ok"), F.struct("board_ord", "board")))),
-            lambda s: s["board"]), ", ").alias("names"),
     )
-    joined = sources.join(per, "source", "left").join(rows, "source", "left")
-    failed = F.coalesce((F.col("failed") == F.col("boards")) & (F.col("boards") > 0), F.lit(False))
+    down = per.where(F.col("bad") == F.col("boards")).select("source")
+    listed = F.array_sort(F.collect_list(F.struct("board_ord", "board")))
+    names = log.join(down, "source", "left_semi").groupBy("source").agg(
+        F.array_join(F.transform(listed, lambda s: s["board"]), ", ").alias("names"))
+    joined = sources.join(per, "source", "left").join(names, "source", "left").join(rows, "source", "left")
+    failed = F.coalesce(F.col("bad") == F.col("boards"), F.lit(False))
     text = F.concat(F.lit("RuntimeError: all "), F.col("boards"), F.lit(" "), F.col("source"),
                     F.lit(" board(s) failed: "), F.col("names"))
     n = F.when(failed, F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("bigint")

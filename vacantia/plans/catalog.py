@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "filters", "merging")
+_MODULES = ("scalars", "filters", "merging", "landing")
 
 
 def catalog() -> dict:
