@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "filters", "merging", "landing")
+_MODULES = ("scalars", "filters", "merging", "reports", "landing", "state")
 
 
 def catalog() -> dict:
