@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def wide(spark: SparkSession) -> int:
+    """Partition count for CPU-heavy steps on few bytes, which AQE would pack into too few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder, for tables written and read back within one job."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
