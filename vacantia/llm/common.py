@@ -37,7 +37,7 @@ def append(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list], dro
     gone = {n.lower() for n in new.names} | {n.lower() for n in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in gone]
     names = [f.name for f in kept]
-    types = [_arrow(f.dataType) for f in new.fields]
+    types = [arrow_type(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +47,7 @@ def append(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list], dro
     return df.mapInArrow(run, T.StructType(kept + new.fields))
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
