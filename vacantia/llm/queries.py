@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality_rules",)
+_MODULES = ("url_filter", "quality_rules", "decontaminate", "sharding", "packing")
 
 
 def catalog() -> dict:
