@@ -11,6 +11,9 @@ documents agree in some part (pigeonhole); with ``k`` a little larger than ``d``
   occur once in the corpus, nearly all, are dropped in a first pass: each batch sends its keys, dealt to buckets, as packed
   arrays, and a bucket sorts its arrays and returns the keys it saw again. A key that is frequent within a batch is returned
   through spread buckets, and only a mark goes to its own one, so that no bucket has to hold a hot key.
+* **Frequent keys.** As ``k`` exceeds ``d``, linked documents share not one key but at least as many as a document's non-empty
+  parts exceed ``d``. So each document leaves out its most frequent keys, one less than that number: parts that lie in a
+  passage of many documents pair nobody.
 * **Copies** (equal sets) become one class before anything is paired.
 * **Links.** The members of a part are compared with one pivot, the member that shares most parts with others. Components of
   those links leave few parts with members of several components; only in these the remaining pairs across components are
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import pick, space_words, table
@@ -102,19 +105,23 @@ class Bands:
         return d + 5 + d * 15 // 100, d
 
 
-def part_keys(u: np.ndarray, bands: Bands) -> np.ndarray:
-    """Part keys of a set of shingles, for its own band and the one below."""
-    own, out, mixed = bands.of(len(u)), [], mix(u ^ _U(0x5851F42D4C957F2D))
+def part_keys(u: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Part keys of a set of shingles, for its own band and the one below; the last bit is the band's parity.
+
+    Also, for even and odd bands, how many of these keys any linked document shares at least."""
+    own, out, mixed, shared = bands.of(len(u)), [], mix(u ^ _U(0x5851F42D4C957F2D)), [1, 1]
     for band in (own, own - 1) if own else (own,):
         k, d = bands.parts(band)
         part = (u >> _U(32)) * _U(k) >> _U(32)  # ascending, as u is sorted
         start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         value, name = np.bitwise_xor.reduceat(mixed, start), part[start]
-        if k - len(start) >= k - d:  # so many empty parts that agreement may lie in these alone
+        if len(start) > d:  # at most d parts differ, so agreement lies in others than empty ones
+            shared[band % 2] = len(start) - d
+        else:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), name, assume_unique=True)
             value, name = np.concatenate([value, np.zeros(len(empty), np.uint64)]), np.concatenate([name, empty])
-        out.append(mix(value ^ mix(name + _U((band + 1) << 32))))
-    return np.concatenate(out)
+        out.append(mix(value ^ mix(name + _U((band + 1) << 32))) & ~_U(1) | _U(band % 2))
+    return np.concatenate(out), shared
 
 
 def sketch(u: np.ndarray) -> bytes:
@@ -138,8 +145,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, sketches array<binary>"
-_TABLE = "key long, doc long, n long, d1 long, d2 long, sketch binary"
+_PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, sketches array<binary>"
+_TABLE = "key long, doc long, n long, d1 long, d2 long, even long, odd long, sketch binary"
 
 
 def _pack(buckets: int, percent: int):
@@ -159,9 +166,12 @@ def _pack(buckets: int, percent: int):
                 if len(u):
                     held = classes.setdefault((one, two), [doc, u])
                     held[0] = min(held[0], doc)
-            for doc, u in classes.values():
-                keys.append(part_keys(u, bands))
-                owner.append(np.full(len(keys[-1]), doc, np.int64))
+            shared = {}
+            for name, (doc, u) in classes.items():
+                key, shared[name] = part_keys(u, bands)
+                keys.append(key)
+                owner.append(np.full(len(key), doc, np.int64))
+            even, odd = zip(*(shared.get(name, (1, 1)) for name in zip(d1, d2))) if docs else ((), ())
             rows: list[tuple] = []
             if keys:
                 key, own = np.concatenate(keys), np.concatenate(owner)
@@ -173,13 +183,13 @@ def _pack(buckets: int, percent: int):
                 key = np.concatenate([key[~hot], marks])
                 own = np.concatenate([own[~hot], np.full(len(marks), _MARK, np.int64)])
                 rows += _dealt(key, own, (key >> _U(40)).astype(np.int64) % buckets, 0)
-            arrays = [np.array(docs, np.int64), np.array(sizes, np.int64), np.array(d1, np.uint64), np.array(d2, np.uint64)]
+            arrays = [np.array(x, np.int64) for x in (docs, sizes)] + [np.array(x, np.uint64) for x in (d1, d2)] + [np.array(x, np.int64) for x in (even, odd)]
             rows.append((int(docs[0] + turn) % buckets if docs else 0, 2, *(x.tobytes() for x in arrays), sketches))
             cols = list(zip(*rows))
-            types = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary())]
+            types = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary())]
             for lo in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 64], t) for c, t in zip(cols, types)],
-                                                 names=["bucket", "kind", "a", "b", "c", "d", "sketches"])
+                                                 names=["bucket", "kind", *"abcdef", "sketches"])
 
     return run
 
@@ -189,18 +199,18 @@ def _dealt(key: np.ndarray, own: np.ndarray, bucket: np.ndarray, kind: int) -> l
     key, own, bucket = key[order], own[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else []
     return [
-        (int(bucket[lo]), kind, key[lo:hi].tobytes(), own[lo:hi].tobytes(), b"", b"", None)
+        (int(bucket[lo]), kind, key[lo:hi].tobytes(), own[lo:hi].tobytes(), *[b""] * 4, None)
         for lo, hi in zip(cuts, [*cuts[1:], len(key)])
     ]
 
 
 def _repeated(batches):
     """Tasks behind the exchange: packed rows -> part keys seen for at least two documents, and the documents themselves."""
-    names = ["key", "doc", "n", "d1", "d2", "sketch"]
+    names = ["key", "doc", "n", "d1", "d2", "even", "odd", "sketch"]
 
     def out(key, doc):
         none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(doc), none, none, none, pa.nulls(len(key), pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(doc), *[none] * 5, pa.nulls(len(key), pa.binary())], names=names)
 
     keys, docs = [], []
     for batch in batches:
@@ -211,10 +221,9 @@ def _repeated(batches):
             elif row["kind"] == 1:
                 yield out(a, b)
             else:
-                d1, d2 = (np.frombuffer(row[c], np.int64) for c in "cd")
+                rest = (pa.array(np.frombuffer(row[c], np.int64)) for c in "cdef")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(b), pa.int64()), pa.array(_signed(a)), pa.array(b), pa.array(d1), pa.array(d2), pa.array(row["sketches"], pa.binary())],
-                    names=names)
+                    [pa.nulls(len(b), pa.int64()), pa.array(_signed(a)), pa.array(b), *rest, pa.array(row["sketches"], pa.binary())], names=names)
     if keys:
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.lexsort((doc, key))
@@ -274,6 +283,11 @@ def _verify(pairs: DataFrame, meta: DataFrame, docs: DataFrame, percent: int) ->
     return cut(both.select("u", "v", "tu", "tv").mapInArrow(same, "u long, v long").distinct())
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, c rows) of the keys that several documents have."""
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -283,11 +297,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     meta = found.where("key is null").drop("key")
     full = meta.where("n > 0")
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
-    own = full.join(classes, ["d1", "d2"]).where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    reps = cut(own)
-    keys = found.where("key is not null").select("key", "doc").join(reps.select("doc"), "doc", "left_semi")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    keys = cut(keys.join(shared.select("key", "c"), "key"))
+    own = full.join(classes, ["d1", "d2"]).where("doc = rep")
+    reps = cut(own.groupBy("doc").agg(*[F.max(c).alias(c) for c in ("n", "even", "odd", "sketch")]))
+    keys = found.where("key is not null").select("key", "doc").join(reps.select("doc", "even", "odd"), "doc")
+    keys = keys.join(_shared(keys).select("key", "c"), "key")
+    # Linked documents share so many keys that each can do without its most frequent ones, all but one of that number: the
+    # rarest of the shared keys is in neither's rest.
+    parity = F.col("key").bitwiseAND(F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("doc", parity).orderBy(F.desc("c"), "key"))
+    keys = keys.withColumn("_rank", rank).where(F.col("_rank") >= F.when(parity == 0, F.col("even")).otherwise(F.col("odd"))).select("key", "doc")
+    keys = cut(keys)
+    keys = cut(keys.join(_shared(keys).select("key", "c"), "key"))
     score = keys.groupBy("doc").agg(F.sum("c").alias("s"))
     central = keys.join(score, "doc").groupBy("key").agg(F.max_by("doc", F.struct("s", -F.col("doc"))).alias("v"))
     star = keys.join(central, "key").select(F.col("doc").alias("u"), "v").where("u <> v").distinct()
@@ -296,8 +316,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = keys.select("key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
-    left, right = (placed.select("key", F.col("doc").alias(d), F.col("comp").alias(c)) for d, c in (("u", "cu"), ("v", "cv")))
-    rest = left.join(right, "key").where("cu < cv").select("u", "v").distinct()
+    placed = placed.join(reps.select("doc", "n"), "doc")
+    left, right = (placed.select("key", F.col("doc").alias(d), F.col("comp").alias(f"c{d}"), F.col("n").alias(f"n{d}")) for d in "uv")
+    alike = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("cu") < F.col("cv")) & alike).select("u", "v").distinct()
     tried = star.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
     rest = rest.withColumn("x", F.least("u", "v")).withColumn("y", F.greatest("u", "v")).join(tried, ["x", "y"], "left_anti").select("u", "v")
     more = _verify(rest, reps, docs, percent)
