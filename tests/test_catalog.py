@@ -1,4 +1,4 @@
-"""Registered queries against their SQL twins on the smallest tables (the slow ones run in check_oracle.py)."""
+"""Registered queries against their SQL twins on the smallest tables ."""
 import os
 
 import pytest
@@ -7,7 +7,7 @@ from tests.check_oracle import compare, connect
 from vacantia.plans.catalog import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"stream_incremental", "funnel", "fuzzy_merge_parts"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
@@ -16,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog())))
 def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, SF, name, catalog()[name]) is None
 

@@ -30,11 +30,12 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     events = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    people = table(spark, sf, "customer").where("c_custkey between 0 and 99").select("c_custkey", "c_name")
+    people = table(spark, sf, "customer").select("c_custkey", "c_name")
+    n_people = people.count()
     df = (
         docs.join(events, docs.doc_id == events.event_id)
         .join(labels, "doc_id", "left")
-        .join(people, F.col("doc_id") % 100 == people.c_custkey)
+        .join(people, F.col("doc_id") % n_people == people.c_custkey)
     )
     doc = F.col("doc_id")
     pay = F.when(doc % 3 != 0, F.round(F.col("value") * 1000))
@@ -74,7 +75,7 @@ postings AS (
     CAST(l.quality * 60 + 20 AS INTEGER) AS llm_score
   FROM documents d JOIN events e ON e.event_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id
-  JOIN customer c ON c.c_custkey = d.doc_id % 100
+  JOIN customer c ON c.c_custkey = d.doc_id % (SELECT count(*) FROM customer)
 )"""
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 from vacantia.operators.boards import cap_per_board, resolve_boards
 from vacantia.plans.base import NOW, NOW_SQL, micros, postings, table, with_postings
 from vacantia.plans.scalars import _CLEAN_SQL
+from vacantia.operators.criteria import Criteria
+from vacantia.plans.daily import run_landing
+from vacantia.schema import RAW
 from vacantia.sources import feeds
+from vacantia.sources.registry import READERS, FeedSettings, Landing, register_feed
 
 c = F.col
-PER_BOARD, LIMIT = 5, 3
+PER_BOARD = 5
 
 
 def _payloads(df, source: str, key: str, item, wrap: bool = True, broken=None):
@@ -64,7 +68,7 @@ def _greenhouse_raw(spark, sf):
 def feed_greenhouse(spark, sf):
     raw = feeds.isolate(_greenhouse_raw(spark, sf))
     meta = raw.where(c("board_ord") % 2 == 0).select("board", F.concat(F.lit("Name "), c("board_ord")).alias("name"))
-    return _show(feeds.read_greenhouse(raw, meta, LIMIT))
+    return _show(feeds.read_greenhouse(raw, meta))
 
 
 GREENHOUSE_SQL = _twin(f"""SELECT page_id AS key, 'greenhouse:' || page_id AS basis, CASE WHEN page_id % 7 = 0 THEN 'Untitled' ELSE 'Role ' || page_id END AS title,
@@ -72,7 +76,7 @@ GREENHOUSE_SQL = _twin(f"""SELECT page_id AS key, 'greenhouse:' || page_id AS ba
   CASE page_id % 3 WHEN 0 THEN 'Remote - EU' WHEN 1 THEN 'Berlin' ELSE '' END AS location, {_clean('html')} AS description, {_clean('html')} AS snip, url,
   CAST(NULL AS VARCHAR) AS salary, CASE WHEN page_id % 2 = 0 THEN epoch_us({NOW_SQL}) + 18000000000 - page_id % 50 * 3600000000 ELSE epoch_us(TIMESTAMP '2024-01-01') END AS posted_us,
   CASE WHEN page_id % 3 = 0 THEN TRUE END AS is_remote, CAST(NULL AS VARCHAR) AS job_type, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi
-  FROM pages WHERE page_id % 5 < 3""", 5)
+  FROM pages""", 5)
 
 
 # --- lever and ashby: documents --------------------------------------------------------------
@@ -94,7 +98,7 @@ def _lever_raw(spark, sf):
 
 
 def feed_lever(spark, sf):
-    return _show(feeds.read_lever(feeds.isolate(_lever_raw(spark, sf)), LIMIT))
+    return _show(feeds.read_lever(feeds.isolate(_lever_raw(spark, sf))))
 
 
 _K = "CAST(round_even({x} / 1000.0::DOUBLE, 0) AS BIGINT) || 'k'"
@@ -107,7 +111,7 @@ LEVER_SQL = _twin(f"""SELECT doc_id AS key, 'lever:id-' || doc_id AS basis, 'Eng
     || CASE WHEN doc_id % 4 <> 0 THEN '–€' || (doc_id % 90 + 30) || 'k' ELSE '' END || '/yr' END AS salary,
   (doc_id * 1000 + 1700000000000) * 1000 AS posted_us, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN TRUE END AS is_remote, 'Full-time' AS job_type,
   CASE WHEN doc_id % 6 <> 0 THEN (doc_id % 90 * 1000 + 500)::DOUBLE END AS lo, CASE WHEN doc_id % 6 <> 0 AND doc_id % 4 <> 0 THEN ((doc_id % 90 + 30) * 1000)::DOUBLE END AS hi
-  FROM documents WHERE doc_id % 5 < 3 AND doc_id // 5 % 7 <> 6""", 6)
+  FROM documents WHERE doc_id // 5 % 7 <> 6""", 6)
 
 
 def _ashby_raw(spark, sf):
@@ -124,8 +128,8 @@ def _ashby_raw(spark, sf):
 
 
 def feed_ashby(spark, sf):
-    # Unlisted items go first, then the limit applies; row positions count listed items.
-    return _show(feeds.read_ashby(feeds.isolate(_ashby_raw(spark, sf)), LIMIT))
+    # Unlisted items go; row positions count listed ones.
+    return _show(feeds.read_ashby(feeds.isolate(_ashby_raw(spark, sf))))
 
 
 ASHBY_SQL = _twin(f"""SELECT doc_id AS key, 'ashby:' || doc_id AS basis, CASE WHEN source = '' THEN 'Untitled' ELSE source END AS title, 'Board ' || doc_id // 5 AS company,
@@ -134,7 +138,7 @@ ASHBY_SQL = _twin(f"""SELECT doc_id AS key, 'ashby:' || doc_id AS basis, CASE WH
   CASE doc_id % 8 WHEN 0 THEN '€76K – €185K' WHEN 4 THEN '€76K – €185K' WHEN 1 THEN '$1K' WHEN 5 THEN '$1K' END AS salary,
   epoch_us(TIMESTAMP '2024-03-04 14:29:08.532') AS posted_us, CASE WHEN doc_id % 6 = 0 THEN FALSE WHEN doc_id % 6 = 1 OR doc_id % 2 = 0 THEN TRUE END AS is_remote,
   'FullTime' AS job_type, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi
-  FROM documents WHERE doc_id % 5 IN (0, 2, 3) AND doc_id // 5 % 9 <> 8""", 7).replace(
+  FROM documents WHERE doc_id % 5 <> 1 AND doc_id // 5 % 9 <> 8""", 7).replace(
     f"key % {PER_BOARD} AS row_ord", f"CASE key % {PER_BOARD} WHEN 0 THEN 0 ELSE key % {PER_BOARD} - 1 END AS row_ord")
 
 
@@ -165,7 +169,7 @@ def _workday(spark, sf):
 
 def feed_workday(spark, sf):
     raw, details = _workday(spark, sf)
-    return _show(feeds.read_workday(feeds.isolate(raw), details, F.lit(NOW), LIMIT))
+    return _show(feeds.read_workday(feeds.isolate(raw), details, F.lit(NOW)))
 
 
 _HAS = "(o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0)"
@@ -176,7 +180,15 @@ WORKDAY_SQL = _twin(f"""SELECT o_orderkey AS key, 'workday:' || CASE WHEN {_HAS}
     ELSE 'https://acme' || o_orderkey // 5 || '.wd1.example.com/Careers' || CASE WHEN o_orderkey % 11 <> 0 THEN '/job/R' || o_orderkey ELSE '' END END AS url,
   CAST(NULL AS VARCHAR) AS salary, CASE WHEN {_HAS} AND o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) ELSE epoch_us({NOW_SQL}) - (o_orderkey % 9 + 1) * 86400000000 END AS posted_us,
   CASE WHEN {_HAS} AND (o_orderkey % 9 = 0 OR o_orderkey % 2 = 0) THEN TRUE END AS is_remote, CASE WHEN {_HAS} THEN 'fulltime' END AS job_type,
-  CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM orders WHERE o_orderkey % 5 < 3""", 8)
+  CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM orders""", 8)
+
+
+def feed_workday_list_only(spark, sf):
+    """Boards whose posting pages were not fetched."""
+    return _show(feeds.read_workday(feeds.isolate(_workday(spark, sf)[0]), None, F.lit(NOW)))
+
+
+WORKDAY_LIST_SQL = WORKDAY_SQL.replace(_HAS, "FALSE")
 
 
 # --- scraped rows: documents with their event ---------------------------------------------------
@@ -193,7 +205,7 @@ def _scraped(spark, sf):
 
 
 def feed_rows(spark, sf):
-    return _show(feeds.read_board_rows(_scraped(spark, sf), "indeed", None)).drop("board_ord")
+    return _show(feeds.read_board_rows(_scraped(spark, sf), "indeed")).drop("board_ord")
 
 
 ROWS_SQL = _twin(f"""SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 'indeed:' || doc_id ELSE 'indeed:' || url END AS basis FROM (SELECT doc_id AS key, doc_id, CASE WHEN doc_id % 5 <> 0 THEN source ELSE 'Untitled' END AS title,
@@ -209,7 +221,7 @@ ROWS_SQL = _twin(f"""SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 'indeed:' || doc_i
 def union_feeds(spark, sf):
     raw = feeds.isolate(_greenhouse_raw(spark, sf).unionByName(_lever_raw(spark, sf)).unionByName(_ashby_raw(spark, sf)))
     both = feeds.union_feeds(
-        feeds.read_board_rows(_scraped(spark, sf), "indeed", None), feeds.read_greenhouse(raw, None, LIMIT), feeds.read_lever(raw, LIMIT), feeds.read_ashby(raw, LIMIT))
+        feeds.read_board_rows(_scraped(spark, sf), "indeed"), feeds.read_greenhouse(raw), feeds.read_lever(raw), feeds.read_ashby(raw))
     return both.groupBy("source", c("ord.source_ord").alias("source_ord")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("job_id").alias("ids"), F.sum(F.length("description")).alias("chars"))
 
@@ -262,11 +274,50 @@ y AS (SELECT company, unnest([regexp_replace(lower(company), '[^a-z0-9]', '', 'g
   replace(company, ' ', ''), company]) AS slug, unnest([0, 1, 2, 3]) AS pos FROM x)
 SELECT company, ats, slug, open_count FROM y JOIN b USING (slug) QUALIFY row_number() OVER (PARTITION BY company, ats ORDER BY pos) = 1"""
 
+def target_run(spark, sf):
+    """Landed scraped rows to ranked targets: a board's limit counts target rows only, wherever they stand."""
+    rows = _scraped(spark, sf).withColumn("title", F.sha1(c("row_ord").cast("string")))
+    landing = Landing(spark.createDataFrame([], RAW), tabular={"indeed": rows})
+    run = run_landing(spark, landing, {"indeed": FeedSettings(True, limit=40)}, Criteria(target_companies=TARGETS), NOW)
+    return run.ranked.select("job_id", "company")
+
+
+TARGETS = ("Co 9", "Co 25", "Co 199")
+TARGET_SQL = f"""SELECT job_id, company FROM ({ROWS_SQL}) WHERE company IN ({', '.join(f"'{x}'" for x in TARGETS)})"""
+
+
+def custom_feed(spark, sf):
+    """A feed of a user's own, without configured boards: every landed payload of its name is read."""
+    def read(landing, settings, now):
+        rows = landing.raw.where((c("source") == "ownfeed") & c("ok"))
+        item = F.from_json("payload", "struct<id:string,name:string>")
+        return feeds.as_posting(
+            rows, job_id=item["id"], title=F.sha1(item["id"]), company=item["name"], location=F.lit(""), description=F.lit(""),
+            source=F.lit("ownfeed"), url=F.lit(""), description_snippet=F.lit(""),
+            ord=F.struct(F.lit(feeds.source_position("ownfeed")).alias("s"), c("board_ord").cast("int").alias("b"), F.lit(0).cast("bigint").alias("r")))
+
+    k = c("p_partkey")
+    raw = table(spark, sf, "part").select(
+        F.lit("ownfeed").alias("source"), F.concat(F.lit("b"), k).alias("board"), k.cast("int").alias("board_ord"), F.lit(NOW).alias("fetched_at"),
+        (k % 4 != 0).alias("ok"), F.when(k % 4 == 0, "IOError: x").alias("error"), F.to_json(F.struct(k.cast("string").alias("id"), F.md5(k.cast("string")).alias("name"))).alias("payload"))
+    register_feed("ownfeed", read)
+    try:
+        run = run_landing(spark, Landing(raw), {"ownfeed": FeedSettings(True)}, Criteria(), NOW)
+    finally:
+        READERS.pop("ownfeed")
+    return run.ranked.select("job_id", "source").join(run.health.select("source", "count"), "source")
+
+
+CUSTOM_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS job_id, 'ownfeed' AS source, count(*) OVER () AS count FROM part WHERE p_partkey % 4 <> 0"""
+
 QUERIES = {
     "feed_greenhouse": (feed_greenhouse, GREENHOUSE_SQL),
     "feed_lever": (feed_lever, LEVER_SQL),
     "feed_ashby": (feed_ashby, ASHBY_SQL),
     "feed_workday": (feed_workday, WORKDAY_SQL),
+    "feed_workday_list_only": (feed_workday_list_only, WORKDAY_LIST_SQL),
+    "target_run": (target_run, TARGET_SQL),
+    "custom_feed": (custom_feed, CUSTOM_SQL),
     "feed_rows": (feed_rows, ROWS_SQL),
     "union_feeds": (union_feeds, UNION_SQL),
     "feed_isolation": (feed_isolation, ISOLATION_SQL),

@@ -98,13 +98,13 @@ BUDGET = 500
 
 def _scored(spark, sf):
     rows = postings(spark, sf)
-    scores = score_rows(scoring_budget(rows, BUDGET), _title_scorer, "data")
+    scores = score_rows(scoring_budget(rows, None), _title_scorer, "data")
     return attach_scores(rows, scores)
 
 
 _SCORE_SQL = f"""scored AS (SELECT p.* EXCLUDE (llm_score), b.doc_id IS NOT NULL AS tried, CASE WHEN b.doc_id IS NOT NULL AND length(title) % 10 <> 3
     THEN greatest(0, least(100, length(title) * 3 - 10)) END AS llm_score
-  FROM postings p LEFT JOIN (SELECT doc_id FROM postings ORDER BY doc_id LIMIT {BUDGET}) b USING (doc_id))"""
+  FROM postings p LEFT JOIN (SELECT doc_id FROM postings) b USING (doc_id))"""
 
 
 def scored_rows(spark, sf):

@@ -27,12 +27,14 @@ def build_session(app: str = "vacantia", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a fresh scratch folder only where none is set."""
+    """The shared checkpoint folder of the cluster; a fresh scratch folder only for a local master with none set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vacantia-ckpt-"))
     return sc.getCheckpointDir()
 

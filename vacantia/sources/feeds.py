@@ -5,16 +5,16 @@ a missing field is NULL. The per-board row limit is applied to the parsed array
 exploded: it needs no shuffle and no window."""
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import (
     coerce_amount, falsy_to_null, format_salary, make_snippet, normalize_job_type, parse_epoch_ms,
     parse_iso, parse_relative_posted, parse_workday_url, pretty_company, snippet_of, stable_job_id, strip_html,
 )
-from vacantia.operators.boards import cap_per_board
 from vacantia.schema import POSTING, SOURCES
 
 # Payload schemas. Ids, amounts and epochs may arrive as number or text, so they are read as text.
@@ -33,7 +33,6 @@ WORKDAY_DETAIL = """struct<jobPostingInfo:struct<title:string,jobDescription:str
  location:string,timeType:string,externalUrl:string,jobReqId:string,id:string,remoteType:string>,_bad:string>"""
 _OPTIONS = {"columnNameOfCorruptRecord": "_bad"}
 
-DEFAULT_LIMIT = 25
 
 
 def _either(*cols: Column) -> Column:
@@ -41,9 +40,14 @@ def _either(*cols: Column) -> Column:
     return F.coalesce(*[falsy_to_null(c) for c in cols], F.lit(""))
 
 
+def source_position(source: str) -> int:
+    """Run order of a feed; feeds of users follow the built-in ones, in one place each."""
+    return SOURCES.index(source) if source in SOURCES else len(SOURCES) + zlib.crc32(source.encode()) % 1_000_000
+
+
 def _ord(source: str, board_ord: Column, row_ord: Column) -> Column:
     return F.struct(
-        F.lit(SOURCES.index(source)).alias("source_ord"), board_ord.cast("int").alias("board_ord"),
+        F.lit(source_position(source)).alias("source_ord"), board_ord.cast("int").alias("board_ord"),
         row_ord.cast("bigint").alias("row_ord"))
 
 
@@ -64,6 +68,12 @@ def as_posting(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*out)
 
 
+def latest_landed(raw: DataFrame) -> DataFrame:
+    """Of a board that was landed several times, the latest record (of equal times, any one)."""
+    order = Window.partitionBy("source", "board").orderBy(F.desc("fetched_at"), F.xxhash64("payload", "error"))
+    return raw.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
 def isolate(raw: DataFrame) -> DataFrame:
     """``raw`` with ``ok`` narrowed to payloads their feed can read; the rest carries an error.
 
@@ -92,7 +102,7 @@ def _items(raw: DataFrame, source: str, items: Column, limit: int | None) -> Dat
     return picked.select("board", "board_ord", F.posexplode(items).alias("pos", "item"))
 
 
-def read_greenhouse(raw: DataFrame, meta: DataFrame | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def read_greenhouse(raw: DataFrame, meta: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``meta`` holds (board, name); boards without a name get a readable slug."""
     jobs = F.from_json("payload", GREENHOUSE, _OPTIONS)["jobs"]
     rows = _items(raw, "greenhouse", jobs, limit)
@@ -115,7 +125,7 @@ def read_greenhouse(raw: DataFrame, meta: DataFrame | None = None, limit: int |
         ord=_ord("greenhouse", F.col("board_ord"), F.col("pos")))
 
 
-def read_lever(raw: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def read_lever(raw: DataFrame, limit: int | None = None) -> DataFrame:
     is_list = F.ltrim("payload").startswith("[")
     rows = _items(raw, "lever", F.when(is_list, F.from_json("payload", LEVER)), limit)
     i = F.col("item")
@@ -138,7 +148,7 @@ def read_lever(raw: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
         ord=_ord("lever", F.col("board_ord"), F.col("pos")))
 
 
-def read_ashby(raw: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def read_ashby(raw: DataFrame, limit: int | None = None) -> DataFrame:
     jobs = F.from_json("payload", ASHBY, _OPTIONS)["jobs"]
     listed = F.filter(jobs, lambda x: ~x["isListed"].eqNullSafe(F.lit(False)))
     rows = _items(raw, "ashby", listed, limit)
@@ -161,17 +171,23 @@ def read_ashby(raw: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
         job_type=i["employmentType"], ord=_ord("ashby", F.col("board_ord"), F.col("pos")))
 
 
-def read_workday(raw: DataFrame, details: DataFrame, now: Column, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def read_workday(raw: DataFrame, details: DataFrame | None, now: Column, limit: int | None = None) -> DataFrame:
     """List rows left-joined with their detail record; detail fields win when present.
 
-    ``details``: board, external_path, ok, payload (one row per fetched posting page)."""
+    ``details``: board, external_path, ok, payload and, where pages are fetched again, fetched_at (the latest readable page
+    of a posting counts). Without any, the list fields stand alone."""
     found = F.from_json("payload", WORKDAY_LIST, _OPTIONS)["jobPostings"]
     rows = _items(raw, "workday", found, limit)
     i = F.col("item")
     rows = rows.withColumn("path", _either(i["externalPath"]))
     parsed = F.from_json("payload", WORKDAY_DETAIL, _OPTIONS)
     good = F.col("ok") & parsed["_bad"].isNull() & F.ltrim("payload").startswith("{")
-    info = details.where(good & (F.col("external_path") != "")).select(
+    if details is None:
+        details = raw.sparkSession.createDataFrame([], "board string, external_path string, ok boolean, payload string")
+    at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(0)
+    newest = Window.partitionBy("board", "external_path").orderBy(at.desc(), F.xxhash64("payload"))
+    details = details.where(good & (F.col("external_path") != "")).withColumn("_rn", F.row_number().over(newest)).where("_rn = 1")
+    info = details.select(
         "board", F.col("external_path").alias("path"), parsed["jobPostingInfo"].alias("info"), F.lit(True).alias("has_info"))
     rows = rows.join(info, ["board", "path"], "left")
     d = F.col("info")
@@ -199,7 +215,7 @@ def _text(c: Column) -> Column:
     return F.when(F.typeof(c).isin("double", "float") & (text == "NaN"), F.lit(None)).otherwise(text)
 
 
-def read_board_rows(df: DataFrame, source: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def read_board_rows(df: DataFrame, source: str) -> DataFrame:
     """Scraped board rows: id, title, company, location, job_url, job_url_direct, description,
     min_amount, max_amount, interval, currency, is_remote, job_type, job_level, date_posted, plus
     ``row_ord``. Missing columns count as missing values. Descriptions keep their markup."""
@@ -221,7 +237,7 @@ def read_board_rows(df: DataFrame, source: str, limit: int | None = DEFAULT_LIMI
         posted = parse_iso(raw) if types["date_posted"] == "string" else raw.cast("timestamp")
     text = _either(cell("description"))
     board = F.col("board") if "board" in types else F.lit(source)
-    rows = as_posting(
+    return as_posting(
         df.withColumn("board", board), title=title, company=company, location=location, description=text,
         description_snippet=make_snippet(text), url=url, source=F.lit(source), posted_date=posted,
         job_id=stable_job_id(source, cell("id"), url, company, title, location),
@@ -229,10 +245,6 @@ def read_board_rows(df: DataFrame, source: str, limit: int | None = DEFAULT_LIMI
         is_remote=F.col("is_remote").cast("boolean") if "is_remote" in types else F.lit(None),
         job_type=falsy_to_null(cell("job_type")), job_level=falsy_to_null(cell("job_level")),
         ord=_ord(source, F.lit(0), F.col("row_ord")))
-    if limit is None:
-        return rows
-    # The scraped board is the feed itself, so the cap runs over the source.
-    return cap_per_board(rows.withColumn("board", F.col("source")), limit).drop("board")
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

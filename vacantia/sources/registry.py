@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.operators.boards import cap_per_board
 from vacantia.schema import BOARD_SOURCES, SCRAPED_SOURCES, SOURCES
 from vacantia.sources import feeds as _feeds
 
@@ -14,7 +15,7 @@ from vacantia.sources import feeds as _feeds
 @dataclass(frozen=True)
 class FeedSettings:
     enabled: bool = False
-    limit: int = _feeds.DEFAULT_LIMIT
+    limit: int | None = None  # rows per board; all of them by default
     boards: tuple[str, ...] = ()
 
 
@@ -61,12 +62,19 @@ def board_table(spark: SparkSession, settings: dict[str, FeedSettings]) -> DataF
     return spark.createDataFrame(rows, "source string, board string, board_ord int")
 
 
-def read_feeds(landing: Landing, settings: dict[str, FeedSettings], now) -> DataFrame | None:
-    """Postings of all enabled feeds. ``landing.raw`` must have passed ``isolate``."""
+def read_feeds(landing: Landing, settings: dict[str, FeedSettings], now, wanted=None) -> DataFrame | None:
+    """Postings of all enabled feeds. ``landing.raw`` must have passed ``isolate``.
+
+    Of scraped rows only those that meet ``wanted`` are read; a limit counts what is left, so it never hides a wanted row
+    behind others."""
     out = []
     for name, feed in enabled_feeds(settings):
         if name in READERS:
             out.append(READERS[name](landing, feed, now))
         elif name in SCRAPED_SOURCES and landing.tabular and name in landing.tabular:
-            out.append(_feeds.read_board_rows(landing.tabular[name], name, feed.limit))
+            rows = _feeds.read_board_rows(landing.tabular[name], name)
+            rows = rows if wanted is None else rows.where(wanted)
+            if feed.limit is not None:
+                rows = cap_per_board(rows.withColumn("board", F.col("source")), feed.limit).drop("board")
+            out.append(rows)
     return _feeds.union_feeds(*out) if out else None
