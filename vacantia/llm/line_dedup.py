@@ -2,13 +2,14 @@
 
 A text is cut into chunks of lines where a rolling hash over the last two line hashes hits a target (on average every second
 line), and around long lines, which stand for several wrapped ones. Boundaries depend on the lines beside them only, so an
-inserted or removed line shifts no other chunk and a passage is cut alike wherever it occurs. Chunks are then counted over all
-documents by hash and bytes: grouping by the text itself is the byte comparison, and a hash that two different texts share is
-left alone. The occurrence in the smallest doc_id (there the first one) stays; elsewhere maximal runs of repeated chunks are
-removed if they span two lines or a long one and have ``min_words`` words. So short common lines stay where they stand.
+inserted or removed line shifts no other chunk and a passage is cut alike wherever it occurs. Chunks, and the lines in them, are
+then counted over all documents by hash and bytes: grouping by the text itself is the byte comparison, and a hash that two
+different texts share is left alone. The occurrence in the smallest doc_id (there the first one) stays. Elsewhere a repeated
+chunk grows over the repeated lines beside it, which gives the ragged ends of its passage, and the run is removed if it spans
+two lines or a long one and has ``min_words`` words. So short common lines stay where they stand.
 
 Chunks are combined in each task before they are shuffled, so a passage in a third of all rows is a few rows; its occurrences
-are joined by hash, a join that adaptive execution splits. Texts move once, to be joined with what goes.
+are joined by hash with the written table of repeated ones, a join that adaptive execution can split. Texts move once, to be joined with what goes.
 
 Defined results: null and empty texts are returned as they are. Texts are cut whole, whatever their length. Rows that repeat a
 doc_id count as one document: repeated rows keep the same lines. A null doc_id sorts last; where all occurrences have one, none
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import append, arrow_type, table
+from vacantia.session import cut
 
 #: One boundary in so many lines, on average.
 TARGET = 2
@@ -49,11 +51,20 @@ def _hash(chunk: str) -> int:
     return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _pieces(lines: list[str]):
+    """(first line, lines, text) of every chunk of several lines and of every line."""
+    for a, b in line_chunks(lines):
+        if b - a > 1:
+            yield a, b - a, "\n".join(lines[a:b])
+        for i in range(a, b):
+            yield i, 1, lines[i]
+
+
 def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(rk, doc_id, at, h[, chunk]) of every chunk."""
+    """(rk, doc_id, at, n, h[, chunk]) of every chunk and line."""
     kind = docs.schema["doc_id"].dataType
-    names = ["rk", "doc_id", "at", "h"] + ["chunk"] * with_text
-    types = [pa.int64(), arrow_type(kind), pa.int32(), pa.int64()] + [pa.string()] * with_text
+    names = ["rk", "doc_id", "at", "n", "h"] + ["chunk"] * with_text
+    types = [pa.int64(), arrow_type(kind), pa.int32(), pa.int32(), pa.int64()] + [pa.string()] * with_text
 
     def run(batches):
         for batch in batches:
@@ -61,15 +72,12 @@ def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
                 cols: list[list] = [[] for _ in names]
                 part = batch.slice(lo, 1000)
                 for rk, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    lines = text.split("\n") if text else []
-                    for a, b in line_chunks(lines):
-                        chunk = "\n".join(lines[a:b])
-                        row = (rk, doc, a, _hash(chunk), chunk)
-                        for c, x in zip(cols, row):
+                    for at, n, chunk in _pieces(text.split("\n") if text else []):
+                        for c, x in zip(cols, (rk, doc, at, n, _hash(chunk), chunk)):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    ddl = f"rk long, doc_id {kind.simpleString()}, at int, h long" + ", chunk string" * with_text
+    ddl = f"rk long, doc_id {kind.simpleString()}, at int, n int, h long" + ", chunk string" * with_text
     return docs.select("rk", "doc_id", "text").mapInArrow(run, ddl)
 
 
@@ -77,11 +85,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """``docs`` with repeated runs removed from ``text``, and n_lines, n_removed (lines) and emptied (nothing is left)."""
     slim = docs.select(F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("rk"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counted = _chunks(slim, True).groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    repeated = counted.groupBy("h").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where("n > 1 and kinds = 1")
+    repeated = cut(counted.groupBy("h").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where("n > 1 and kinds = 1"))
     mine = F.col("first").isNull() | F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
     marks = _chunks(slim, False).join(repeated.select("h", "first"), "h").groupBy("rk").agg(
-        F.collect_set(F.struct("at", mine.alias("mine"))).alias("_marks"))
+        F.collect_set(F.struct("at", "n", mine.alias("mine"))).alias("_marks"))
     rows = docs.withColumn("_rk", F.xxhash64(f"`{doc_id}`", f"`{text}`"))
     joined = rows.join(marks.withColumnRenamed("rk", "_rk"), "_rk", "left")
 
@@ -89,7 +97,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         out: list[list] = [[], [], [], []]
         for old, marks in zip(batch.column(text).to_pylist(), batch.column("_marks").to_pylist()):
             lines = old.split("\n") if old else []
-            gone = _removed(lines, {m["at"]: m["mine"] for m in marks or ()}, min_words)
+            gone = _removed(lines, {(m["at"], m["n"]): m["mine"] for m in marks or ()}, min_words)
             left = [x for i, x in enumerate(lines) if i not in gone]
             for c, x in zip(out, ("\n".join(left) if gone else old, len(lines), len(gone), bool(gone) and not any(x.strip() for x in left))):
                 c.append(x)
@@ -99,29 +107,30 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     return append(joined, f"`{text}` string, n_lines long, n_removed long, emptied boolean", clean, ("_rk", "_marks")).select(*[f"`{c}`" for c in order])
 
 
-def _removed(lines: list[str], marks: dict[int, bool], min_words: int) -> set[int]:
-    """Lines to remove, given the repeated chunks (first line -> whether the kept occurrence is in this document)."""
+def _removed(lines: list[str], marks: dict[tuple[int, int], bool], min_words: int) -> set[int]:
+    """Lines to remove, given the repeated chunks and lines (first line, lines -> whether the kept one is in this document)."""
     if not marks:
         return set()
-    gone: set[int] = set()
-    run: list[tuple[int, int]] = []
     seen: set[str] = set()
-
-    def close() -> None:
-        rows = [i for a, b in run for i in range(a, b)]
-        words = [len(lines[i].split()) for i in rows]
-        if sum(words) >= min_words and (len(rows) > 1 or max(words) >= LONG):
-            gone.update(rows)
-        run.clear()
-
+    again, core = [False] * len(lines), [False] * len(lines)
+    for at, n, text in _pieces(lines):
+        if (at, n) in marks and (text in seen or not marks[at, n]):
+            for i in range(at, at + n):
+                again[i] = True
+        seen.add(text)
     for a, b in line_chunks(lines):
-        chunk = "\n".join(lines[a:b])
-        if a in marks and (not marks[a] or chunk in seen):
-            run.append((a, b))
-        else:
-            close()
-        seen.add(chunk)
-    close()
+        core[a:b] = [(a, b - a) in marks and all(again[a:b])] * (b - a)
+    gone: set[int] = set()
+    start = 0
+    while start < len(lines):
+        end = start
+        while end < len(lines) and again[end]:
+            end += 1
+        if any(core[start:end]):
+            words = [len(x.split()) for x in lines[start:end]]
+            if sum(words) >= min_words and (end - start > 1 or words[0] >= LONG):
+                gone.update(range(start, end))
+        start = end + 1
     return gone
 
 
