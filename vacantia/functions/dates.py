@@ -39,6 +39,7 @@ def parse_iso(c: Column) -> Column:
 def parse_relative_posted(c: Column, now: Column) -> Column:
     """'Posted 5 Days Ago' and its kin, relative to ``now``."""
     text = F.lower(c)
+    # The phrases boards write.
     days = F.regexp_extract(text, r"(\d+)\+?\s*day", 1).try_cast("int")
     months = F.regexp_extract(text, r"(\d+)\+?\s*month", 1).try_cast("int")
 

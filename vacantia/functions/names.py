@@ -13,6 +13,7 @@ JOB_TYPE_ALIASES = {
     "contract": "contract", "contractor": "contract", "temp": "temporary", "temporary": "temporary",
     "intern": "internship", "internship": "internship",
 }
+# Fixed value: a path part that names a language, maybe with a region.
 _LOCALE = "^[a-z]{2}([-_][A-Za-z]{2})?$"
 
 

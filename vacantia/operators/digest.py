@@ -74,6 +74,7 @@ def score_outcome(scored: DataFrame) -> DataFrame:
     return out.withColumn("systemic", (F.col("failed") > 0) & (F.col("scored") == 0))
 
 
+# The texts of the subject line and of a dead source's error.
 def run_decision(health: DataFrame, new_rows: DataFrame, prefix: str = "[Job Digest]", send_empty_digest: bool = False,
                  send_on_total_failure: bool = True) -> DataFrame:
     """One row: all_failed, new, send and subject. ``new_rows`` has one row with column ``new``."""
