@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,12 @@ SEPARATOR = 0
 GROUP = 1_000
 
 
+@cache
 def encoder(path: str):
-    """text -> its ids as little-endian bytes. The vocabulary comes as ranks, which give the ids of the ``tokenizers`` file of
-    the same name in a fifth of its time (a test holds them against each other)."""
+    """text -> its ids as little-endian bytes; loaded once in a worker, however many tasks it runs.
+
+    The vocabulary comes as ranks, which give the ids of the ``tokenizers`` file of the same name in a fifth of its time (a test
+    holds them against each other)."""
     import public_tokenizers
     import tiktoken
 
@@ -49,17 +53,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     types = [arrow_type(docs.schema["doc_id"].dataType), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    held: list = []
 
     def run(batches):
-        if not held:
-            held.append(encoder(path))
+        encode = encoder(path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 500):
                 rows: list[list] = [[] for _ in names]
-                for doc, got in zip(ids[lo : lo + 500], map(held[0], texts[lo : lo + 500])):
+                for doc, got in zip(ids[lo : lo + 500], map(encode, texts[lo : lo + 500])):
                     got += SEPARATOR.to_bytes(4, "little")
                     n = len(got) // 4
                     first = n % capacity or capacity
