@@ -75,6 +75,18 @@ def test_hot_group_that_links_through_its_centre(docs_of):
     assert result(near_duplicates(docs_of(rows))) == brute(rows)
 
 
+def test_groups_larger_than_a_unit(docs_of, monkeypatch):
+    """Near copies of which many link with no centre, compared in several units."""
+    from vacantia.llm import parity_join
+
+    monkeypatch.setattr(parity_join, "BLOCK", 40)
+    rng = random.Random(6)
+    base = text(rng, 150, 5000)
+    rows = [(i, edited(rng, base, rng.choice([1, 2, 4, 7, 9]))) for i in range(260)]
+    rows += [(300 + i, edited(rng, rows[rng.randrange(260)][1], 2)) for i in range(60)]
+    assert result(near_duplicates(docs_of(rows))) == brute(rows)
+
+
 def test_odd_rows(docs_of):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None), (2, "A B\tC d e f"), (4, "z " * 30000)]
     got = result(near_duplicates(docs_of(rows[:2] + rows[3:])))

@@ -16,8 +16,9 @@ documents agree in some part (pigeonhole); with ``k`` a little larger than ``d``
   passage of many documents pair nobody.
 * **Copies** (equal sets) become one class before anything is paired.
 * **Links.** The members of a part are compared with one pivot, the member that shares most parts with others. Components of
-  those links leave few parts with members of several components; only in these the remaining pairs across components are
-  compared too. So no link between components is lost, and no group of near copies is expanded into all pairs.
+  those links leave few parts with members of several components. There, in units of at most ``BLOCK`` members a side, the dense
+  sketches of those outside the largest component are held against the others' by vectorised XOR, and only pairs that pass
+  the Hamming bound leave the task. So no link between components is lost, and no group is expanded into rows of pairs.
 * **Verification.** A pair first has to pass the Hamming bound of two dense parity sketches, then its shingles are compared as
   words.
 
@@ -42,6 +43,8 @@ WORDS = 5
 HOT = 64
 #: Documents of one packed slice.
 SLICE = 2_500
+#: Members of a part key on either side of one unit of comparison.
+BLOCK = 4_000
 #: Bytes of text per bucket of part keys, about.
 BUCKET_BYTES = 4 << 20
 _U = np.uint64
@@ -125,20 +128,24 @@ def part_keys(u: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """Dense parity sketch with the next power of two above twice the set's size as bits."""
-    bits = max(256, 1 << (2 * len(u) - 1).bit_length())
+    """Dense parity sketch with the next power of two above four times the set's size as bits."""
+    bits = max(256, 1 << (4 * len(u) - 1).bit_length())
     place = mix(u ^ _U(0xD1342543DE82EF95)) & _U(bits - 1)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def distance(a: bytes, b: bytes) -> int:
-    """Hamming distance of two sketches; the longer one is folded to the shorter's bits, which keeps parities."""
-    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch with its upper halves XORed onto its first ``size`` bytes, which keeps parities."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -283,6 +290,61 @@ def _verify(pairs: DataFrame, meta: DataFrame, docs: DataFrame, percent: int) ->
     return cut(both.select("u", "v", "tu", "tv").mapInArrow(same, "u long, v long").distinct())
 
 
+def _across(placed: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (u, v) of different components that share a part key and pass the bounds of size and Hamming distance."""
+    many = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(many, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "comp", "n", "sketch")
+
+    def pairs(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        block, doc, comp, n = (np.array(c, np.int64) for c in list(zip(*unit))[:4])
+        size = min(len(r[4]) for r in unit)
+        bits = np.stack([folded(r[4], size) for r in unit]).view(np.uint64)
+        names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+        small = at != np.argmax(count)
+        us, vs = [], []
+        two = block.min() != block.max()
+        for i in np.flatnonzero(small):
+            y = np.flatnonzero((comp != comp[i]) & (~small | (np.arange(len(doc)) > i)) & ((block != block[i]) | (not two)))
+            y = y[np.minimum(n[y], n[i]) * 100 >= np.maximum(n[y], n[i]) * bands.percent]
+            y = y[np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1) <= (n[y] + n[i]) * (100 - bands.percent) // (100 + bands.percent)]
+            us.append(np.full(len(y), doc[i]))
+            vs.append(doc[y])
+        return np.concatenate(us), np.concatenate(vs)
+
+    def run(batches):
+        names = ["key", "lo", "hi", "block", "doc", "comp", "n", "sketch"]
+        last, unit, found, seen = None, [], [], set()
+
+        def close() -> None:
+            if len({r[2] for r in unit}) > 1:
+                fresh = [p for p in zip(*(x.tolist() for x in pairs(unit))) if p not in seen]
+                if len(seen) < 500_000:  # pairs meet in many parts; what isn't remembered is made distinct later
+                    seen.update(fresh)
+                found.extend(fresh)
+            unit.clear()
+
+        def out():
+            u, v = zip(*found) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for *name, block, doc, comp, n, sketch in zip(*(batch.column(c).to_pylist() for c in names)):
+                if name != last:
+                    close()
+                    last = name
+                unit.append((block, doc, comp, n, sketch))
+            if len(found) > 10_000:
+                yield out()
+        close()
+        yield out()
+
+    width = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "u long, v long")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """(key, c rows) of the keys that several documents have."""
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
@@ -292,7 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     nameless = docs.where("doc_id is null")
-    docs = docs.where("doc_id is not null")
+    docs, bands = docs.where("doc_id is not null"), Bands(percent)
     found = _first_pass(docs, percent)
     meta = found.where("key is null").drop("key")
     full = meta.where("n > 0")
@@ -316,12 +378,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = keys.select("key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
-    placed = placed.join(reps.select("doc", "n"), "doc")
-    left, right = (placed.select("key", F.col("doc").alias(d), F.col("comp").alias(f"c{d}"), F.col("n").alias(f"n{d}")) for d in "uv")
-    alike = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("cu") < F.col("cv")) & alike).select("u", "v").distinct()
-    tried = star.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
-    rest = rest.withColumn("x", F.least("u", "v")).withColumn("y", F.greatest("u", "v")).join(tried, ["x", "y"], "left_anti").select("u", "v")
+    rest = _across(placed.join(reps.select("doc", "n", "sketch"), "doc"), bands).distinct()
     more = _verify(rest, reps, docs, percent)
     if more.take(1):
         groups = components(links.union(more))
