@@ -128,8 +128,8 @@ def part_keys(u: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """Dense parity sketch with the next power of two above four times the set's size as bits."""
-    bits = max(256, 1 << (4 * len(u) - 1).bit_length())
+    """Dense parity sketch with the next power of two above twice the set's size as bits."""
+    bits = max(256, 1 << (2 * len(u) - 1).bit_length())
     place = mix(u ^ _U(0xD1342543DE82EF95)) & _U(bits - 1)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -290,12 +290,15 @@ def _verify(pairs: DataFrame, meta: DataFrame, docs: DataFrame, percent: int) ->
     return cut(both.select("u", "v", "tu", "tv").mapInArrow(same, "u long, v long").distinct())
 
 
-def _across(placed: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (u, v) of different components that share a part key and pass the bounds of size and Hamming distance."""
+def _across(placed: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (u, v) of different components that share a part key and pass the bounds of size and Hamming distance.
+
+    ``placed``: key, doc, comp. A group of several blocks of members becomes a unit for every two of its blocks."""
     many = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(many, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "comp", "n", "sketch")
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "comp")
+    rows = rows.join(reps.select("doc", "n", "sketch"), "doc").select("key", "lo", "hi", "block", "doc", "comp", "n", "sketch")
 
     def pairs(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         block, doc, comp, n = (np.array(c, np.int64) for c in list(zip(*unit))[:4])
@@ -376,9 +379,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = _verify(star, reps, docs, percent)
     groups = components(links)
     placed = keys.select("key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    # Parts of two members have been compared, and of parts with the same members one will do.
+    member = [F.xxhash64("doc", F.lit(i)) for i in range(2)]
+    mixed = placed.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(member[0]).alias("x"),
+        F.sum(F.call_function("shiftright", member[1], F.lit(24))).alias("y"))
+    mixed = mixed.where("lo < hi and c > 2").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
-    rest = _across(placed.join(reps.select("doc", "n", "sketch"), "doc"), bands).distinct()
+    rest = _across(placed, reps, bands).distinct()
     more = _verify(rest, reps, docs, percent)
     if more.take(1):
         groups = components(links.union(more))
