@@ -55,6 +55,16 @@ def test_ids_are_those_of_the_other_library():
         assert np.frombuffer(encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space_are_encoded():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    encode, n = encoder(tokenizer_path()), 1_200_000
+    for t in ["it's a" + " " * n + "b 's", "\n" * (n + 1) + "<|endoftext|>\u3000\xa0", "x" + " \n\t" * (n // 3)]:
+        assert np.array_equal(np.frombuffer(encode(t), "<u4"), model.encode(t, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("group", [3, 1000])
 def test_pack_round_trip(spark, docs_of, group):
     rng = random.Random(2)

@@ -16,6 +16,7 @@ that repeat a doc_id are packed as documents of their own. Empty tables give emp
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import cache
 
@@ -31,6 +32,35 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces in one ordered group, about.
 GROUP = 1_000
+#: A run of white space from this length on is encoded by ``tokenizers``: ``tiktoken`` panics within one of about a million.
+SPACES = 100_000
+#: White space as both libraries have it.
+_SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+
+
+@cache
+def _slow():
+    """The ``tokenizers`` model; special strings in a text are ordinary text."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    return model
+
+
+def _parts(text: str, spaces: int = SPACES):
+    """(text, whether it is a long run of white space) in order; the split before the merges is the same in the parts as in the whole.
+
+    A run is a token of its own up to its last character, which is left to what follows."""
+    at = 0
+    if len(text) >= spaces:
+        for m in _SPACE_RUN.finditer(text):
+            if m.end() - m.start() >= spaces:
+                end = m.end() - (m.end() < len(text))
+                yield text[at : m.start()], False
+                yield text[m.start() : end], True
+                at = end
+    yield text[at:], False
 
 
 @cache
@@ -38,14 +68,19 @@ def encoder(path: str):
     """text -> its ids as little-endian bytes; loaded once in a worker, however many tasks it runs.
 
     The vocabulary comes as ranks, which give the ids of the ``tokenizers`` file of the same name in a fifth of its time (a test
-    holds them against each other)."""
+    holds them against each other). Long runs of white space, which the ranks' library can't split, go through that file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(model.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        got = [_slow().encode(part, add_special_tokens=False).ids if run else model.encode_ordinary(part) for part, run in _parts(text)]
+        return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in got)
+
+    return encode
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
