@@ -118,6 +118,23 @@ def test_line_dedup_matches_plain_python_and_removes_passages(docs_of):
     assert sorted(r.text for r in line_dedup(docs_of([(None, line(40)), (1, "a"), (1, "a")])).collect())[:2] == ["a", "a"]
 
 
+def test_line_dedup_finds_short_passages_without_a_chunk(docs_of):
+    rng = random.Random(10)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, passages = [], []
+    for k in range(120):
+        sizes = [(18, 18, 18), (14, 13, 13, 13), (11,) * 5, (9,) * 6, (17, 0, 17, 17)][k % 5]
+        passages.append([line(n) for n in sizes])
+        rows += [(2 * k + i, "\n".join([line(12), line(12), *passages[-1], line(12), line(12)])) for i in (0, 1)]
+    alone = [line(13), line(14)]  # common lines, never side by side before the last row
+    rows += [(300, alone[0]), (301, alone[1]), (302, "\n".join([line(12), alone[0], "", line(12), alone[1]]))]
+    got = {r.doc_id: r.text for r in line_dedup(docs_of(rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1], k
+        assert not any(x in got[2 * k + 1].split("\n") for x in p if x) and len(got[2 * k + 1].split("\n")) == 4, k
+    assert got[302] == rows[-1][1]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a = "</p><p>no</p>";</script></head><body class="home ad-free">
 <nav><a href=x>Home</a><a href=y>News, more, and more</a></nav><div id="cookie-notice"><p>We use cookies, really, a lot of them, all the time.</p></div>
 <div class=wrap><article><h1>Title &amp; more</h1><p>First <b>bold</b>word, and then&nbsp;some&#x20;text, long enough.<p>Second<br>line &lt;x&gt;

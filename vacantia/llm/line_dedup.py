@@ -2,7 +2,8 @@
 
 A text is cut into chunks of lines where a rolling hash over the last two line hashes hits a target (on average every second
 line), and around long lines, which stand for several wrapped ones. Boundaries depend on the lines beside them only, so an
-inserted or removed line shifts no other chunk and a passage is cut alike wherever it occurs. Chunks, and the lines in them, are
+inserted or removed line shifts no other chunk and a passage is cut alike wherever it occurs. A short passage may hold no whole
+chunk, so every two neighbouring short lines (blank ones between them aside) are a chunk as well. Chunks, and the lines in them, are
 then counted over all documents by hash and bytes: grouping by the text itself is the byte comparison, and a hash that two
 different texts share is left alone. The occurrence in the smallest doc_id (there the first one) stays. Elsewhere a repeated
 chunk grows over the repeated lines beside it, which gives the ragged ends of its passage, and the run is removed if it spans
@@ -52,12 +53,22 @@ def _hash(chunk: str) -> int:
 
 
 def _pieces(lines: list[str]):
-    """(first line, lines, text) of every chunk of several lines and of every line."""
+    """(first line, lines, text) of every chunk of several lines, of every line, and (0 lines) of every pair of short neighbours.
+
+    A pair is named by the hashes of its lines: where both are repeated, each hash stands for one text."""
     for a, b in line_chunks(lines):
         if b - a > 1:
             yield a, b - a, "\n".join(lines[a:b])
         for i in range(a, b):
             yield i, 1, lines[i]
+    for i, j in _pairs(lines):
+        yield i, 0, f"\n{_hash(lines[i]):x} {_hash(lines[j]):x}"
+
+
+def _pairs(lines: list[str]) -> list[tuple[int, int]]:
+    """Neighbouring lines that aren't blank, without long ones, which are chunks of their own."""
+    sized = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
+    return [(i, j) for (i, n), (j, m) in zip(sized, sized[1:]) if n < LONG and m < LONG]
 
 
 def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -112,14 +123,20 @@ def _removed(lines: list[str], marks: dict[tuple[int, int], bool], min_words: in
     if not marks:
         return set()
     seen: set[str] = set()
+    twice: set[int] = set()
     again, core = [False] * len(lines), [False] * len(lines)
     for at, n, text in _pieces(lines):
         if (at, n) in marks and (text in seen or not marks[at, n]):
+            if n == 0:
+                twice.add(at)
             for i in range(at, at + n):
                 again[i] = True
         seen.add(text)
     for a, b in line_chunks(lines):
         core[a:b] = [(a, b - a) in marks and all(again[a:b])] * (b - a)
+    for i, j in _pairs(lines):
+        if i in twice and all(again[i : j + 1]):
+            core[i] = core[j] = True
     gone: set[int] = set()
     start = 0
     while start < len(lines):
