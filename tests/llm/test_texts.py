@@ -215,6 +215,17 @@ def test_toxicity_on_held_out_rows_misspellings_and_quotes(spark, docs_of):
     assert nothing.score(["horrid"]).tolist() == [0.0] and toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_rare_terms_of_a_rich_vocabulary_are_learned(spark, docs_of):
+    rng = random.Random(4)
+    common = [f"w{i:04}q" for i in range(5000)]
+    rows = [(i, " ".join(rng.sample(common, 500)), int(i % 4 == 0)) for i in range(700)]
+    rare = ["gruffle", "snidgin", "plovack"]
+    rows = [(i, t + f" {rare[i // 4 % 3]}" * (y and i < 132), y) for i, t, y in rows]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    model = toxicity.fit(docs_of([(i, t) for i, t, _ in rows]), labels)
+    assert all(model.auto.find(w) for w in rare)
+
+
 def test_additive_model_learns_pairs_and_reads_no_held_out_label(spark, docs_of):
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))

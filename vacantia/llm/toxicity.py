@@ -31,8 +31,6 @@ from vacantia.session import cut
 
 #: Labelled rows used at most, about.
 SAMPLE = 20_000
-#: Lexicon candidates and terms kept at most.
-CANDIDATES, TERMS = 4_000, 400
 #: Words on either side of a hit that its context weight looks at.
 WINDOW = 6
 QUOTED = 0.25
@@ -199,8 +197,8 @@ def _prefixes(text: str) -> set[str]:
     return words.union(w[:k] + "~" for w in words for k in range(3, min(9, len(w))))
 
 
-def _counts(rows: DataFrame, wanted: frozenset | None) -> list:
-    """In how many rows each word or prefix (of ``wanted``) occurs; combined per batch before the shuffle."""
+def _counts(rows: DataFrame, wanted: frozenset | None, least: int = 1) -> dict[str, int]:
+    """In how many rows each word or prefix (of ``wanted``) occurs, from ``least`` on; combined per batch before the shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -211,7 +209,7 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> list:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
     got = rows.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return got.orderBy(F.desc("n"), "w").limit(CANDIDATES).collect() if wanted is None else got.collect()
+    return {r["w"]: r["n"] for r in got.where(F.col("n") >= least).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -225,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     nt, nc = toxic.count(), clean.count()
     if not nt or not nc:
         return Model(base=nt / max(1, nt + nc))
-    hot = {r["w"]: r["n"] for r in _counts(toxic, None) if r["n"] >= max(5, nt // 200)}
-    cold = {r["w"]: r["n"] for r in _counts(clean, frozenset(hot))}
+    hot = _counts(toxic, None, max(5, nt // 200))  # a share of the rows, so their number doesn't grow with the table
+    cold = _counts(clean, frozenset(hot))
     odds = {w: math.log((n + 0.5) / (nt + 1)) - math.log((cold.get(w, 0) + 0.5) / (nc + 1)) for w, n in hot.items()}
     good = sorted((w for w in hot if odds[w] >= 3.0), key=lambda w: (-hot[w], w.endswith("~"), -len(w), w))
     # which rows each candidate covers, from the rows of the sample alone
@@ -235,18 +233,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for i, r in enumerate(toxic.toLocalIterator()):
         for w in _prefixes(r["text"] or "") & wanted:
             covers[w].add(i)
-    terms, covered = [], set()
-    for w in good:  # whole words first: any frequent one is a term
-        if not w.endswith("~") and hot[w] >= max(5, nt // 50) and len(terms) < TERMS:
-            terms.append(w)
+    covered: set[int] = set()
+    for w in good:  # frequent words first: stems are for the rows beyond them
+        if not w.endswith("~") and hot[w] >= max(5, nt // 50):
             covered |= covers[w]
     stems: list[str] = []
     for w in good:
         new = covers[w] - covered
-        if w.endswith("~") and len(new) >= max(4, nt // 200) and len(terms) + len(stems) < TERMS:
+        if w.endswith("~") and len(new) >= max(4, nt // 200):
             stems.append(w)
             covered |= covers[w]
-    terms = [t for t in terms if not any(t.startswith(s[:-1]) for s in stems)]
+    begun = tuple(s[:-1] for s in stems)
+    terms = [w for w in good if not w.endswith("~") and not w.startswith(begun)]
     model = Model({t: odds[t] for t in terms}, {s[:-1]: odds[s] for s in stems})
 
     def spellings(batches):
