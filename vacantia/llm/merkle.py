@@ -1,6 +1,6 @@
 """Merkle manifest of a data set: one binary hash tree per group of rows, one over the groups.
 
-Leaves of a group are numbered in their order. Every aligned run of ``2**HEIGHT`` numbers is a block: its subtree is stored as one
+Leaves of a group are numbered in their order. Every aligned run of ``2**height`` numbers is a block: its subtree is stored as one
 array of digests in van Emde Boas layout (a subtree of L levels is split at half height into an upper subtree of L // 2 levels and
 lower ones, each stored together, and so on). ``address`` computes the place of a node from its depth and number in a few steps of
 arithmetic; building and the look-up of siblings both go through it, and no pointers are kept. The roots of the blocks are the
@@ -33,7 +33,6 @@ from vacantia.session import cut
 
 #: Levels below a block's root; a block has up to 2**HEIGHT leaves.
 HEIGHT = 8
-WIDTH = 1 << HEIGHT
 STEP = 33  # bytes of one level of a path
 
 c = F.col
@@ -57,9 +56,9 @@ def address(levels: int, depth: int, index: np.ndarray) -> np.ndarray:
     return at
 
 
-def height_of(n: int) -> int:
+def height_of(n: int, most: int = HEIGHT) -> int:
     """Levels below the root of a block whose tree has ``n`` leaves at this tier."""
-    return HEIGHT if n > WIDTH else (n - 1).bit_length()
+    return min(most, (n - 1).bit_length())
 
 
 def build_block(digests: bytes, height: int) -> np.ndarray:
@@ -106,8 +105,9 @@ def proof_text(path: bytes) -> str:
 @dataclass
 class Manifest:
     """``tiers``: block tables from the leaves up (tree, block, n, m, nodes, root; tier 0 also ``members``); ``crown``: the same over
-    the group roots; ``trees``: tree, place, subroot, path (above the subroot), root."""
+    the group roots; ``trees``: tree, place, subroot, path (above the subroot), root; ``height``: levels below a full block's root."""
 
+    height: int
     tiers: list[DataFrame]
     crown: list[DataFrame]
     trees: DataFrame
@@ -122,61 +122,61 @@ class Manifest:
         return out
 
 
-def _blocks(nodes: DataFrame, *extra: str) -> DataFrame:
-    """Blocks over ``nodes`` (tree, i, n, leaf, extra): at most WIDTH members are gathered for each."""
-    grouped = nodes.groupBy("tree", F.shiftright("i", HEIGHT).alias("block"), "n").agg(
+def _blocks(nodes: DataFrame, height: int, *extra: str) -> DataFrame:
+    """Blocks over ``nodes`` (tree, i, n, leaf, extra): at most 2**height members are gathered for each."""
+    grouped = nodes.groupBy("tree", F.shiftright("i", height).alias("block"), "n").agg(
         F.array_sort(F.collect_list(F.struct("i", "leaf", *extra))).alias("members")).withColumn("m", F.size("members"))
 
     def build(batch: pa.RecordBatch) -> list:
         members = batch.column("members")
         ends, digests = members.offsets.to_pylist(), members.values.field("leaf").to_pylist()
-        trees = [build_block(bytes.fromhex("".join(digests[a:b])), height_of(n)) for a, b, n in zip(ends, ends[1:], batch.column("n").to_pylist())]
+        trees = [build_block(bytes.fromhex("".join(digests[a:b])), height_of(n, height)) for a, b, n in zip(ends, ends[1:], batch.column("n").to_pylist())]
         return [[t.tobytes() for t in trees], [t[0].tobytes().hex() for t in trees]]  # the root is first in the layout
 
     made = append(grouped, "nodes binary, root string", build)
     return cut(made if extra else made.drop("members"))
 
 
-def _tiers(nodes: DataFrame, most: int, *extra: str) -> tuple[list[DataFrame], DataFrame]:
+def _tiers(nodes: DataFrame, most: int, height: int, *extra: str) -> tuple[list[DataFrame], DataFrame]:
     """Block tables up to single roots, and (tree, root). ``most``: leaves of the largest tree."""
-    tiers, roots = [], None
+    tiers, roots, width = [], None, 1 << height
     while True:
-        blocks = _blocks(nodes, *(extra if not tiers else ()))
+        blocks = _blocks(nodes, height, *(extra if not tiers else ()))
         tiers.append(blocks)
-        done = blocks.where(c("n") <= WIDTH).select("tree", "root")
+        done = blocks.where(c("n") <= width).select("tree", "root")
         roots = done if roots is None else roots.unionByName(done)
-        if most <= WIDTH:
+        if most <= width:
             return tiers, roots
-        nodes = blocks.where(c("n") > WIDTH).select(
-            "tree", c("block").alias("i"), F.shiftright(c("n") + WIDTH - 1, HEIGHT).alias("n"), c("root").alias("leaf"))
-        most = -(-most // WIDTH)
+        nodes = blocks.where(c("n") > width).select(
+            "tree", c("block").alias("i"), F.shiftright(c("n") + width - 1, height).alias("n"), c("root").alias("leaf"))
+        most = -(-most // width)
 
 
-def _node_paths(blocks: DataFrame) -> DataFrame:
+def _node_paths(blocks: DataFrame, height: int) -> DataFrame:
     """(tree, i, path) for every leaf of the given blocks, which carry the path ``above`` them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, block, n, m, nodes, above in zip(*(batch.column(x).to_pylist() for x in ("tree", "block", "n", "m", "nodes", "above"))):
-                inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n), m)
+                inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n, height), m)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, tree)), pa.array(np.arange(m) + block * WIDTH), pa.array([row.tobytes() + above for row in inside], pa.binary())],
+                    pa.array(np.full(m, tree)), pa.array(np.arange(m) + (block << height)), pa.array([row.tobytes() + above for row in inside], pa.binary())],
                     names=["tree", "i", "path"])
 
     return blocks.select("tree", "block", "n", "m", "nodes", "above").mapInArrow(run, "tree long, i long, path binary")
 
 
-def _with_above(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _with_above(tiers: list[DataFrame], tops: DataFrame, height: int) -> DataFrame:
     """The blocks of the lowest tier with the path ``above`` each; ``tops``: tree, path above the root of the tree."""
     above = None  # paths of the blocks of the tier at hand, from the tier over it
     for blocks in reversed(tiers):
-        top = tops.join(blocks.where(c("n") <= WIDTH).select("tree", "block"), "tree").select("tree", "block", c("path").alias("above"))
+        top = tops.join(blocks.where(c("n") <= 1 << height).select("tree", "block"), "tree").select("tree", "block", c("path").alias("above"))
         above = top if above is None else above.unionByName(top)
         joined = blocks.join(above, ["tree", "block"])
-        above = _node_paths(joined).select("tree", c("i").alias("block"), c("path").alias("above"))
+        above = _node_paths(joined, height).select("tree", c("i").alias("block"), c("path").alias("above"))
     return joined
 
 
-def manifest(rows: DataFrame, group: str, order: str, digest: str, *extra: str) -> Manifest:
+def manifest(rows: DataFrame, group: str, order: str, digest: str, *extra: str, height: int = HEIGHT) -> Manifest:
     """The manifest of ``rows`` by ``group``, whose leaves ascend by ``order``; ``extra`` columns stay with the members of tier 0."""
     rows = rows.select(c(f"`{group}`").alias("_group"), c(f"`{order}`").alias("_order"), c(f"`{digest}`").alias("leaf"),
                        *[c(f"`{x}`").alias(f"_x{k}") for k, x in enumerate(extra)], F.monotonically_increasing_id().alias("_salt"))
@@ -187,18 +187,18 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str, *extra: str)
     named = groups.withColumnRenamed("_group", "_of")
     leaves = placed.join(named, c("_group").eqNullSafe(c("_of"))).withColumn("i", c("place") - 1 - c("tree"))
     names = [f"_x{k}" for k in range(len(extra))]
-    tiers, roots = _tiers(leaves.select("tree", "i", "n", "leaf", *names), most or 0, *names)
+    tiers, roots = _tiers(leaves.select("tree", "i", "n", "leaf", *names), most or 0, height, *names)
     subroots = cut(with_position(roots, [c("tree")], "place"))
-    crown, top = _tiers(subroots.select(F.lit(0).cast("bigint").alias("tree"), (c("place") - 1).alias("i"), F.lit(many).alias("n"), c("root").alias("leaf")), many)
-    paths = _node_paths(_with_above(crown, top.select("tree", F.lit(b"").alias("path"))))
+    crown, top = _tiers(subroots.select(F.lit(0).cast("bigint").alias("tree"), (c("place") - 1).alias("i"), F.lit(many).alias("n"), c("root").alias("leaf")), many, height)
+    paths = _node_paths(_with_above(crown, top.select("tree", F.lit(b"").alias("path")), height), height)
     trees = subroots.withColumnRenamed("root", "subroot").join(paths.select((c("i") + 1).alias("place"), "path"), "place")
     root = top.first()  # one digest
-    return Manifest(tiers, crown, cut(trees.withColumn("root", F.lit(root["root"] if root else None).cast("string"))))
+    return Manifest(height, tiers, crown, cut(trees.withColumn("root", F.lit(root["root"] if root else None).cast("string"))))
 
 
 def prove(made: Manifest) -> DataFrame:
     """Blocks of leaves with all that a proof needs: members, nodes, above, subroot, root."""
-    return _with_above(made.tiers, made.trees.select("tree", "path")).join(made.trees.select("tree", "subroot", c("root").alias("whole")), "tree")
+    return _with_above(made.tiers, made.trees.select("tree", "path"), made.height).join(made.trees.select("tree", "subroot", c("root").alias("whole")), "tree")
 
 
 # --- documents ---------------------------------------------------------------------------------------
@@ -215,11 +215,13 @@ def row_digest(*values: Column) -> Column:
 
 def audit(made: Manifest) -> DataFrame:
     """Each member (doc_id, leaf, and ``now``: the digest its row has today) held against the manifest."""
+    height = made.height
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(x).to_pylist() for x in ("members", "n", "m", "nodes", "above", "subroot", "whole"))
             for members, n, m, nodes, above, subroot, root in zip(*columns):
-                inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n), m)
+                inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n, height), m)
                 paths = [row.tobytes() + above for row in inside]
                 folded = [fold(x["_x1"], p) for x, p in zip(members, paths)]
                 yield pa.RecordBatch.from_arrays([

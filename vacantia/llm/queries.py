@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("url_filter", "parity_join", "quality_rules", "toxicity", "html_main", "gam_quality", "decontaminate", "line_dedup", "sharding", "packing", "mixing", "merkle")
+_MODULES = ("url_filter", "parity_join", "quality_rules", "toxicity", "html_main", "gam_quality", "decontaminate", "line_dedup", "sharding", "packing", "mixing", "merkle", "hard_negatives")
 
 
 def catalog() -> dict:
