@@ -105,12 +105,13 @@ def proof_text(path: bytes) -> str:
 @dataclass
 class Manifest:
     """``tiers``: block tables from the leaves up (tree, block, n, m, nodes, root; tier 0 also ``members``); ``crown``: the same over
-    the group roots; ``trees``: tree, place, subroot, path (above the subroot), root; ``height``: levels below a full block's root."""
+    the group roots; ``trees``: tree, place, subroot, path (above the subroot); ``root``: of all; ``height``: levels below a full block's root."""
 
     height: int
     tiers: list[DataFrame]
     crown: list[DataFrame]
     trees: DataFrame
+    root: str | None
 
     def stored(self) -> DataFrame:
         """All blocks as one table to keep: part ('tree' or 'crown'), tier, tree, block, n, m, nodes."""
@@ -153,26 +154,29 @@ def _tiers(nodes: DataFrame, most: int, height: int, *extra: str) -> tuple[list[
 
 
 def _node_paths(blocks: DataFrame, height: int) -> DataFrame:
-    """(tree, i, path) for every leaf of the given blocks, which carry the path ``above`` them."""
+    """(tree, i, path, subroot) for every leaf of the given blocks, which carry the path ``above`` them and the root of their tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tree, block, n, m, nodes, above in zip(*(batch.column(x).to_pylist() for x in ("tree", "block", "n", "m", "nodes", "above"))):
+            columns = (batch.column(x).to_pylist() for x in ("tree", "block", "n", "m", "nodes", "above", "subroot"))
+            for tree, block, n, m, nodes, above, subroot in zip(*columns):
                 inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n, height), m)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, tree)), pa.array(np.arange(m) + (block << height)), pa.array([row.tobytes() + above for row in inside], pa.binary())],
-                    names=["tree", "i", "path"])
+                    pa.array(np.full(m, tree)), pa.array(np.arange(m) + (block << height)), pa.array([row.tobytes() + above for row in inside], pa.binary()),
+                    pa.array([subroot] * m, pa.string())], names=["tree", "i", "path", "subroot"])
 
-    return blocks.select("tree", "block", "n", "m", "nodes", "above").mapInArrow(run, "tree long, i long, path binary")
+    return blocks.select("tree", "block", "n", "m", "nodes", "above", "subroot").mapInArrow(run, "tree long, i long, path binary, subroot string")
 
 
 def _with_above(tiers: list[DataFrame], tops: DataFrame, height: int) -> DataFrame:
-    """The blocks of the lowest tier with the path ``above`` each; ``tops``: tree, path above the root of the tree."""
-    above = None  # paths of the blocks of the tier at hand, from the tier over it
+    """The blocks of the lowest tier with the path ``above`` each and the root of its tree; ``tops``: tree, subroot, path above it.
+
+    Both come down block by block, so that no join has the tree alone as its key."""
+    above = None  # of the blocks of the tier at hand, from the tier over it
     for blocks in reversed(tiers):
-        top = tops.join(blocks.where(c("n") <= 1 << height).select("tree", "block"), "tree").select("tree", "block", c("path").alias("above"))
+        top = tops.join(blocks.where(c("n") <= 1 << height).select("tree", "block"), "tree").select("tree", "block", c("path").alias("above"), "subroot")
         above = top if above is None else above.unionByName(top)
         joined = blocks.join(above, ["tree", "block"])
-        above = _node_paths(joined, height).select("tree", c("i").alias("block"), c("path").alias("above"))
+        above = _node_paths(joined, height).select("tree", c("i").alias("block"), c("path").alias("above"), "subroot")
     return joined
 
 
@@ -190,15 +194,15 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str, *extra: str,
     tiers, roots = _tiers(leaves.select("tree", "i", "n", "leaf", *names), most or 0, height, *names)
     subroots = cut(with_position(roots, [c("tree")], "place"))
     crown, top = _tiers(subroots.select(F.lit(0).cast("bigint").alias("tree"), (c("place") - 1).alias("i"), F.lit(many).alias("n"), c("root").alias("leaf")), many, height)
-    paths = _node_paths(_with_above(crown, top.select("tree", F.lit(b"").alias("path")), height), height)
+    paths = _node_paths(_with_above(crown, top.select("tree", F.lit(b"").alias("path"), F.lit("").alias("subroot")), height), height)
     trees = subroots.withColumnRenamed("root", "subroot").join(paths.select((c("i") + 1).alias("place"), "path"), "place")
-    root = top.first()  # one digest
-    return Manifest(height, tiers, crown, cut(trees.withColumn("root", F.lit(root["root"] if root else None).cast("string"))))
+    whole = top.first()  # one digest
+    return Manifest(height, tiers, crown, cut(trees), whole["root"] if whole else None)
 
 
 def prove(made: Manifest) -> DataFrame:
-    """Blocks of leaves with all that a proof needs: members, nodes, above, subroot, root."""
-    return _with_above(made.tiers, made.trees.select("tree", "path"), made.height).join(made.trees.select("tree", "subroot", c("root").alias("whole")), "tree")
+    """Blocks of leaves with all that a proof needs besides the root: members, nodes, above, subroot."""
+    return _with_above(made.tiers, made.trees.select("tree", "path", "subroot"), made.height)
 
 
 # --- documents ---------------------------------------------------------------------------------------
@@ -215,12 +219,12 @@ def row_digest(*values: Column) -> Column:
 
 def audit(made: Manifest) -> DataFrame:
     """Each member (doc_id, leaf, and ``now``: the digest its row has today) held against the manifest."""
-    height = made.height
+    height, root = made.height, made.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(x).to_pylist() for x in ("members", "n", "m", "nodes", "above", "subroot", "whole"))
-            for members, n, m, nodes, above, subroot, root in zip(*columns):
+            columns = (batch.column(x).to_pylist() for x in ("members", "n", "m", "nodes", "above", "subroot"))
+            for members, n, m, nodes, above, subroot in zip(*columns):
                 inside = block_paths(np.frombuffer(nodes, np.uint8).reshape(-1, 32), height_of(n, height), m)
                 paths = [row.tobytes() + above for row in inside]
                 folded = [fold(x["_x1"], p) for x, p in zip(members, paths)]
@@ -229,7 +233,7 @@ def audit(made: Manifest) -> DataFrame:
                     pa.array([hashlib.sha256(proof_text(p).encode()).hexdigest() for p in paths]), pa.array(folded), pa.array([f == root for f in folded])],
                     names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
-    return prove(made).select("members", "n", "m", "nodes", "above", "subroot", "whole").mapInArrow(
+    return prove(made).select("members", "n", "m", "nodes", "above", "subroot").mapInArrow(
         run, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
