@@ -45,7 +45,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     cols = {
         "job_id": doc.cast("string"),
-        "title": F.substring(F.substring_index("text", ".", 1), 1, 80),
+        "title": F.substring_index("text", ".", 1),
         "company": F.col("c_name"), "location": place,
         "salary": F.when(pay.isNotNull(), F.concat(F.lit("$"), pay.cast("bigint").cast("string"))),
         "description": F.col("text"), "description_snippet": F.lit(""),
@@ -62,7 +62,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 POSTINGS_SQL = """
 postings AS (
-  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS job_id, substr(split_part(d.text, '.', 1), 1, 80) AS title,
+  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS job_id, split_part(d.text, '.', 1) AS title,
     c.c_name AS company,
     CASE d.lang WHEN 'en' THEN 'Remote - US' WHEN 'fr' THEN 'Paris, France' WHEN 'de' THEN 'Sydney, Australia' ELSE '' END AS location,
     CASE WHEN d.doc_id % 3 <> 0 THEN '$' || CAST(CAST(round(e.value * 1000) AS BIGINT) AS VARCHAR) END AS salary,
