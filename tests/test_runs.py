@@ -119,7 +119,60 @@ def test_replay_after_prune_keeps_batches_apart(spark, tmp_path):
     store.compact()
     store.compact()
     assert store.load().count() == 7 and store.load_without("b4").count() == 7 and store.load_without("b3").count() == 4
-    assert len(list((tmp_path / "seen").iterdir())) == 2  # the current generation and the one before
+    for _ in range(6):
+        store.compact()
+    assert store.load().count() == 7
+    assert len(list((tmp_path / "seen" / "data").iterdir())) == 5  # one folder for each of the last versions
+
+
+def test_replay_of_a_pruned_batch_replaces_its_records(spark, tmp_path):
+    """x and y published, pruned into one part, then the batch is replayed with x only: x stands once, y is free again."""
+    store = SeenTable(spark, str(tmp_path / "seen"))
+    store.record(frame(spark, [posting("old")]), "b1", NOW - timedelta(days=200))
+    store.record(frame(spark, [posting("x"), posting("y")]), "b2", NOW)
+    assert store.prune(90, NOW) == 1
+    store.record(frame(spark, [posting("x")]), "b2", NOW)
+    assert [(r["job_id"], r["batch_id"]) for r in store.records().collect()] == [("x", "b2")]
+    store.compact()
+    assert not store.record(frame(spark, []), "b2", NOW)  # published nothing this time
+    assert store.load().isEmpty()
+
+
+def test_writers_do_not_lose_each_other(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    one, two = SeenTable(spark, path), SeenTable(spark, path)
+    one.record(frame(spark, [posting("a"), posting("gone")]), "b1", NOW - timedelta(days=200))
+    one.record(frame(spark, [posting("b")]), "b2", NOW)
+    reader = one.load()
+    put, calls = one._put, []
+
+    def late(version, parts):
+        """Another writer commits between the look at the newest version and the put."""
+        calls.append(version)
+        if len(calls) == 1:
+            two.record(frame(spark, [posting("c")]), "b3", NOW)
+        put(version, parts)
+
+    one._put = late
+    one.record(frame(spark, [posting("d")]), "b4", NOW)
+    assert len(calls) == 2 and {r[0] for r in one.load().collect()} == {"a", "gone", "b", "c", "d"}
+    calls.clear()
+
+    def replayed(version, parts):
+        """A batch that a prune has read is replayed before the prune commits: the prune starts again."""
+        calls.append(version)
+        if len(calls) == 1:
+            two.record(frame(spark, [posting("b"), posting("e")]), "b2", NOW)
+        put(version, parts)
+
+    one._put = replayed
+    assert one.prune(90, NOW) == 2
+    assert {r[0] for r in two.load().collect()} == {"b", "c", "d", "e"}
+    assert {r[0] for r in reader.collect()} == {"a", "gone", "b"}  # as of its version
+    one._put = put
+    one._write(frame(spark, [posting("z")]).selectExpr("job_id", "title", "company", "source", "'' AS first_seen", "'b9' AS batch_id"))  # dies before its commit
+    one.compact()
+    assert two.load().count() == 4
 
 
 def test_shared_folder_is_required_on_a_cluster(monkeypatch):
