@@ -278,3 +278,81 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in out} == {r.doc_id for r in df.collect()}
     check([(r.length, r.sequence_id, r.offset) for r in out], 2048)
     assert [len(p.STAGES), p.ORACLE_SQL] == [5, None]
+
+
+PARAS = "<p>Real words, here, in a row, and long enough to count as text.</p><p>More text, with commas, follows in the second paragraph.</p>"
+PARAS_TEXT = "Real words, here, in a row, and long enough to count as text. More text, with commas, follows in the second paragraph."
+COMMENTS = "<div class=comments>" + "<article class=comment><p>A comment, with words, that is long enough to be text, too.</p></article>" * 30 + "</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>t</title><meta charset=utf-8><body>{PARAS}",  # the head is never closed
+    f"<head><title>t</title>{PARAS}",
+    f"<body><div class='site has-sidebar'><article>{PARAS}</article><div class='sidebar'><p>side text, short</p></div></div>",
+    f"<body><div class='site has-sidebar'><div>{PARAS}</div><div class='sidebar'><p>side text, short</p></div></div>",
+    f"<div class='post share-enabled'>{PARAS}</div>",
+    f"<div class='search-results-article'>{PARAS}</div>",
+    f"<form id=aspnetForm><input type=hidden>{PARAS}</form>",
+    "<div>" + PARAS.replace("in a row", "<span class='ad'>AD <b>TEXT</b></span>in a row") + "</div>",
+    f"<article>{PARAS}</article>{COMMENTS}",
+    f"<div>{PARAS}</div>{COMMENTS}",
+    f"<div>{PARAS}<form><label>Name</label><input></form></div>",
+    f"<article><header><h1>Left out</h1></header>{PARAS}</article>",
+    f"<div class=promo>{PARAS}</div>",
+])
+def test_names_do_not_empty_a_page(page):
+    assert main_text(page) == PARAS_TEXT
+
+
+def test_pages_against_a_plain_reader():
+    """All pages of the smallest tables, read with the standard library's parser: what stands in the article, less the parts that go."""
+    import os
+    from html.parser import HTMLParser
+
+    import duckdb
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables not present")
+
+    class Plain(HTMLParser):
+        """Text inside article; every block tag ends a block; parts that go are counted until their end tag."""
+
+        GO = {"nav", "header", "footer", "aside", "form", "button", "select", "script", "style"}
+        INLINE = {"a", "b", "i", "em", "strong", "span", "u", "small", "code", "sup", "sub"}
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside = self.gone = 0
+            self.blocks = [""]
+
+        def handle_starttag(self, tag, attrs):
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ").split()
+            if self.gone or tag in self.GO or (self.inside and {"ad", "ads", "comments", "comment", "related", "share"} & set(names)):
+                self.gone += tag not in ("br", "img", "hr", "input", "p", "li")
+            elif tag == "article":
+                self.inside += 1
+            elif tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in self.INLINE:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if self.gone:
+                self.gone -= tag not in ("br", "img", "hr", "input", "p", "li")
+            elif tag == "article":
+                self.inside -= 1
+            elif tag not in self.INLINE:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.gone:
+                self.blocks[-1] += data
+
+    for (page,) in duckdb.sql(f"SELECT html FROM '{path}'").fetchall():
+        if not page or "<article" not in page:
+            continue
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert main_text(page) == " ".join(t for b in plain.blocks if (t := " ".join(b.split())))

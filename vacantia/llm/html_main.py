@@ -2,12 +2,16 @@
 
 The page is read into a tree of block elements. A paragraph passes points to its parent and, by half, to its grandparent: for
 its length and its commas, discounted by the share of its characters that are links. The container with most points wins; its
-siblings join if they score well themselves or are running text, and an ``article`` or ``main`` around it is taken whole. What is
-boilerplate by its element (menus, headers, footers, sidebars, forms, scripts, styles) or by the words of its class, id or role
-(adverts, notices, comments and the like) is left out wherever it stands. Everything else in the container is returned.
+siblings join if they score well themselves or are running text, and an ``article`` or ``main`` around it is taken whole. Menus,
+headers (that of the article too), footers, sidebars, scripts and styles are left out by their element. The words of class, id or role
+are evidence, which the points of the page are held against: a form or a part named like layout (sidebar, search, share) goes unless it
+holds the ``main`` or ``article`` or four fifths of all points, one named like matter beside the article (adverts, comments) goes
+unless nothing else on the page is running text. Inline elements named like adverts or comments go as well. Should nothing be
+left, the names count for less, step by step. Everything else in the container is returned.
 
 Markup may be broken: elements left open are closed where their parent ends, stray end tags are ignored, an unfinished tag or
-comment at the end of the page ends it, and contents of scripts, styles and titles are never read as markup.
+comment at the end of the page ends it, the first tag or text that a head can't hold closes it, and contents of scripts, styles and
+titles are never read as markup.
 
 Defined results: null or empty html, or a page without text, gives an empty text. Pages are read whole. Repeated rows are
 extracted alike. Empty tables give empty tables. Other columns are ignored."""
@@ -35,17 +39,22 @@ _INLINE = frozenset(
     "sub sup time tt u var".split()
 )
 _SKIPPED = frozenset(
-    "script style title textarea noscript xmp iframe noembed noframes head nav header footer aside form button select option template svg math "
+    "script style title textarea noscript xmp iframe noembed noframes head nav header footer aside button select option template svg math "
     "canvas object dialog menu".split()
 )
-_BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners promo promos promotion sponsor sponsored sponsors "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sitemap "
-    "header masthead footer sidebar sidebars rail aside complementary contentinfo "
-    "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus reply replies respond discussion "
-    "share sharing social related recommended recommendations trending widget widgets toolbar search form".split()
+#: Names of matter beside the article, and of layout, which often names what it surrounds as well.
+_BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense promo promos promotion sponsor sponsored sponsors "
+    "breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "comment comments commentlist disqus reply replies respond discussion related recommended recommendations trending".split()
 )
+_LAYOUT = frozenset(
+    "banner banners nav navbar navigation menu menus sitemap header masthead footer sidebar sidebars rail aside complementary contentinfo "
+    "notice notices alert share sharing social widget widgets toolbar search form".split()
+)
+#: Share of the page's points from which a part counts as what the page is about, whatever its name.
+MOST = 0.8
+_IN_HEAD = frozenset("head base link meta script style title noscript template".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd section div article main h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -58,31 +67,32 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 class Node:
     """A block element: its text runs and child blocks in page order."""
 
-    __slots__ = ("tag", "parent", "items", "skip", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "skip", "named", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
+    def __init__(self, tag: str, parent: Node | None, skip: bool, named: int = 0):
         self.tag, self.parent, self.skip = tag, parent, skip
+        self.named = named  # by its class, id or role: 0 for nothing, 1 like layout, 2 like matter beside the article
         self.items: list = []  # strings, (string,) for link text, Nodes
         self.score = 0.0
         self.chars = self.linked = 0
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in _SKIPPED:
-        return True
+def _named(tag: str, attrs: str) -> int:
+    """What class, id and role say: 0 nothing, 1 layout, 2 matter beside the article."""
+    out = 0
     if tag in ("body", "html", "article", "main") or not attrs:
-        return False
+        return out
     for _, value in _ATTR.findall(attrs):
-        words = [w for w in re.split(r"[\s_\-\"':.]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if w]
-        if any(w in _BOILERPLATE for w in words):
-            return True
-    return False
+        for w in re.split(r"[\s_\-\"':.]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()):
+            out = max(out, 2 if w in _BESIDE else 1 if w in _LAYOUT else 0)
+    return out
 
 
 def parse(page: str) -> Node:
     """The tree of blocks of a page."""
     root = Node("html", None, False)
     node, links, at = root, 0, 0
+    mute: list[str] = []  # open inline elements from the one that is left out on
     while at < len(page):
         m = _TOKEN.match(page, at)
         if not m:  # an unfinished tag: the page ends here
@@ -94,19 +104,29 @@ def parse(page: str) -> Node:
                 end = page.find(">", at)
                 at = len(page) if end < 0 else end + 1
                 continue
-            if not node.skip:
+            if node.tag == "head" and not text.isspace():
+                node = node.parent
+            if not node.skip and not mute:
                 node.items.append((text,) if links else text)
             continue
         if name is None:
             continue
         tag = name.lower()
+        if node.tag == "head" and tag not in _IN_HEAD:
+            node = node.parent
         if tag in _INLINE or tag in _VOID:
+            if tag in _INLINE and closing and tag in mute:
+                while mute.pop() != tag:
+                    pass
+            elif tag in _INLINE and not closing and (mute or _named(tag, attrs) == 2):
+                mute.append(tag)
             if tag == "a":
                 links = 0 if closing else 1
             elif tag in ("br", "hr", "img") and not node.skip:
                 node.items.append(" ")
             if tag != "hr":
                 continue
+        mute.clear()  # a block ends what is open inside the one around it
         if closing:
             open_ = node
             while open_ is not None and open_.tag != tag:
@@ -132,7 +152,7 @@ def parse(page: str) -> Node:
                 node = above.parent
         if tag in ("html", "body", "hr"):
             continue
-        child = Node(tag, node, node.skip or _boilerplate(tag, attrs))
+        child = Node(tag, node, node.skip or tag in _SKIPPED, max(_named(tag, attrs), int(tag == "form")))
         node.items.append(child)
         node, links = child, 0
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "math"):
@@ -140,21 +160,54 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Kept nodes in page order, with characters, link characters and points."""
+def _walk(root: Node) -> list[Node]:
+    """Kept nodes in page order."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
         nodes.append(node)
         todo += [x for x in reversed(node.items) if isinstance(x, Node) and not x.skip]
+    return nodes
+
+
+def _own(node: Node) -> tuple[int, int, float]:
+    """Characters, link characters and points of the text right inside a node."""
+    own = " ".join("".join(x if isinstance(x, str) else x[0] for x in node.items if not isinstance(x, Node)).split())
+    linked = sum(len(x[0]) for x in node.items if isinstance(x, tuple))
+    points = min(len(own) / 100.0, 3.0) + own.count(",") + own.count("،") + own.count("、") + (1.0 if len(own) >= 25 else 0.1)
+    return len(own), linked, points * (1.0 - min(1.0, linked / len(own))) if own and node.tag in _PARAGRAPH else 0.0
+
+
+def _judge_names(root: Node, strict: int) -> None:
+    """Leave out the named parts that the points of the page don't speak for. ``strict``: 2 heeds all names, 1 only those of matter
+    beside the article, 0 none."""
+    nodes = _walk(root)
+    held = {id(n): _own(n)[2] for n in nodes}  # points in the whole subtree
+    marks = {id(n): int(n.tag == "main") * 2 + int(n.tag in ("article", "main")) for n in nodes}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            # what lies in a part named like matter beside the article is no evidence for the parts around it
+            if n.named < 2:
+                held[id(n.parent)] += held[id(n)]
+            marks[id(n.parent)] |= marks[id(n)] if n.named < 2 else 0
+    total = held[id(root)]
+    for n in nodes:
+        if n.parent is not None and n.parent.skip:
+            n.skip = True
+        elif n.named == 1 and strict > 1:
+            n.skip = not marks[id(n)] and held[id(n)] < MOST * total
+        elif n.named == 2 and strict > 0:
+            n.skip = not (marks[id(n)] & 2) and (total >= 1.0 or bool(total and marks[id(root)]))
+
+
+def _measure(root: Node) -> list[Node]:
+    """Kept nodes in page order, with characters, link characters and points."""
+    nodes = _walk(root)
     for node in nodes:
-        own = "".join(x if isinstance(x, str) else x[0] for x in node.items if not isinstance(x, Node))
-        own = " ".join(own.split())
-        node.chars = len(own)
-        node.linked = sum(len(x[0]) for x in node.items if isinstance(x, tuple))
-        if own and node.tag in _PARAGRAPH and node.parent is not None:
-            points = min(len(own) / 100.0, 3.0) + own.count(",") + own.count("،") + own.count("、") + (1.0 if len(own) >= 25 else 0.1)
-            points *= 1.0 - min(1.0, node.linked / max(1, node.chars))
+        node.score = 0.0
+    for node in nodes:
+        node.chars, node.linked, points = _own(node)
+        if points and node.parent is not None:
             node.parent.score += points
             if node.parent.parent is not None:
                 node.parent.parent.score += points / 2.0
@@ -222,9 +275,27 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _unskip(node: Node) -> None:
+    """Forget what names have decided."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        n.skip = n.tag in _SKIPPED or (n.parent is not None and n.parent.skip)
+        todo += [x for x in n.items if isinstance(x, Node)]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main content, joined by one space."""
-    return " ".join(_blocks(main_nodes(parse(page)))) if page else ""
+    if not page:
+        return ""
+    root, text = parse(page), ""
+    for strict in (2, 1, 0):
+        _judge_names(root, strict)
+        text = " ".join(_blocks(main_nodes(root)))
+        if text:
+            break
+        _unskip(root)
+    return text
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
