@@ -356,3 +356,38 @@ def test_pages_against_a_plain_reader():
         plain.feed(page)
         plain.close()
         assert main_text(page) == " ".join(t for b in plain.blocks if (t := " ".join(b.split())))
+
+
+def test_quotations_are_pairs_of_marks():
+    cut_out = lambda t: [t[a:b] for a, b, _ in toxicity.quotations(t)]
+    assert cut_out("I don't want you horrid people here, that's all") == []
+    assert cut_out("the dogs' bowls and the cats' beds, rock 'n' roll") == ["'n'"]
+    assert cut_out("he said 'don't be horrid' and left; a 5\" pipe, the \"word\" here") == ["'don't be horrid'", '"word"']
+    assert cut_out("„schlimm“ «mal» ‘it’s bad’ “so there”") == ["„schlimm“", "«mal»", "‘it’s bad’", "“so there”"]
+    assert toxicity.quotations("'" * 50_000 + " a'a" * 50_000) is not None
+
+
+def plain_meant(text, word):
+    """What each hit of ``word`` counts, read word by word with the quotations looked up one by one."""
+    import re
+
+    out, words = [], list(re.finditer(r"[^\W_]+", text))
+    for i, m in enumerate(words):
+        if m.group().lower() == word:
+            inside = [n for a, b, n in toxicity.quotations(text) if a <= m.start() < b]
+            talk = any(w.group().lower() in toxicity._ABOUT for w in words[max(0, i - 3) : i])
+            out.append(0.0 if talk else min(1.0, (inside[0] - 1) / 12) if inside else 1.0)
+    return out
+
+
+@pytest.mark.parametrize("text", [
+    "I don't want you horrid people here, that's all", 'they wrote "horrid" on it', 'the word horrid is rude', "horrid horrid 'horrid'",
+    '"you are all horrid and nobody wants any of you horrid people here at all today" he said', "İİİİİİİİİİ İİİİ don't 'horrid' horrid", "",
+])
+def test_features_against_a_plain_version(text):
+    import math
+
+    meant = plain_meant(text, "horrid")
+    total = sum(2.0 * (0.25 + 0.75 * m) for m in meant)
+    want = [min(1.0, total / 3), math.log1p(total), math.log1p(sum(meant)), 100 * sum(meant) / len(toxicity.words_of(text))] if meant else [0.0] * 4
+    assert toxicity.Model({"horrid": 2.0}).features(text) == pytest.approx(want)

@@ -4,8 +4,8 @@ The lexicon (whole terms and stems) is learned from labelled rows: words and pre
 than elsewhere. All its Levenshtein automata run at once against a trie of the terms; the states met are kept as a table of
 transitions, so a word costs a few look-ups and most words leave the table after two or three characters. That catches
 misspelled terms (one edit from 5 letters, two from 9; a swap of neighbours is one edit), except spellings that clean labelled
-rows use too. Every hit is weighed by its context window: enclosed in quotation marks, or beside a word that talks about words,
-it counts less. Logistic weights of the few resulting counts come from the same labelled rows.
+rows use too. Every hit is weighed by its context: beside a word that talks about words, or in a short quotation, it counts less, the
+more so the shorter the quotation is; one of more than two windows counts like any text. Logistic weights of the few resulting counts come from the same labelled rows.
 
 Labels are read only from rows whose crc32 of the id isn't a multiple of 5, of these at most about ``sample`` rows (chosen by a
 hash of the id). Scores use the text alone. Without labels, or with labels of one kind only, every score is the share of toxic
@@ -16,6 +16,7 @@ scored alike; of several labels of an id the higher counts. Empty tables give em
 ones are replaced."""
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -35,13 +36,22 @@ SAMPLE = 20_000
 WINDOW = 6
 QUOTED = 0.25
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = "\"“”„«»‘’'`"
+#: Quotations: paired marks, and apostrophes only where they stand at the edge of a word. Longer ones have no bearing on a hit.
+_QUOTES = re.compile(
+    r"(?<!\w)\"(?=\S)[^\"]{1,400}(?<=\S)\"(?!\w)|[“„][^“”„]{1,400}[”“]|«[^«»]{1,400}»|`[^`]{1,400}`"
+    r"|(?<!\w)[‘'](?=\S)(?:[^‘’'\n]|(?<=\w)[’'](?=\w)){1,400}?(?<=\S)[’'](?!\w)"
+)
 #: Words that announce talk about a word.
 _ABOUT = frozenset("word words term terms slur insult quote quoted quotes called phrase wort begriff zitat mot terme palabra término".split())
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def quotations(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the quotations of a text, in order."""
+    return [(m.start(), m.end(), len(_WORD.findall(m.group()))) for m in _QUOTES.finditer(text)]
 
 
 class Automaton:
@@ -167,22 +177,25 @@ class Model:
         if not hits:
             return [0.0, 0.0, 0.0, 0.0]
         total = open_ = 0.0
-        spans = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text.lower())]
-        for i, (start, end, w) in enumerate(spans):
+        spans = [(m.start(), m.end(), w) for m, w in zip(_WORD.finditer(text), found)]
+        quotes = quotations(text)
+        for i, (start, _, w) in enumerate(spans):
             if w in hits:
                 name, edits = hits[w]
                 value = (self.weight.get(name) or self.stems.get(name, 0.0)) * 0.7**edits
-                quoted = self._quotation(text, spans, i, start, end)
-                total += value * (QUOTED if quoted else 1.0)
-                open_ += not quoted
+                meant = self._meant(spans, i, quotes, start)
+                total += value * (QUOTED + (1.0 - QUOTED) * meant)
+                open_ += meant
         return [min(1.0, total / 3.0), math.log1p(total), math.log1p(open_), 100.0 * open_ / len(found)]
 
     @staticmethod
-    def _quotation(text: str, spans: list, i: int, start: int, end: int) -> bool:
-        lo, hi = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-        before, after = text[max(0, lo - 1) : start], text[end : hi + 1]
-        marks = sum(before.count(m) for m in _MARKS) % 2 == 1 and any(m in after for m in _MARKS)
-        return marks or any(spans[j][2] in _ABOUT for j in range(max(0, i - 3), i))
+    def _meant(spans: list, i: int, quotes: list[tuple[int, int, int]], start: int) -> float:
+        """How far a hit speaks for its text: 0 for a word that is quoted or talked about, rising with the length of the quotation to
+        1 for words in quotations of more than two windows, and outside of any."""
+        if any(spans[j][2] in _ABOUT for j in range(max(0, i - 3), i)):
+            return 0.0
+        k = bisect.bisect_right(quotes, (start, 1 << 62, 0)) - 1
+        return min(1.0, (quotes[k][2] - 1) / (2 * WINDOW)) if k >= 0 and start < quotes[k][1] else 1.0
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.coef:
