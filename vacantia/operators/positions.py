@@ -9,12 +9,13 @@ from vacantia.session import cut
 _LOW_BITS = (1 << 33) - 1
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """1-based position in the global ``order`` (which must be total).
+def with_position(df: DataFrame, order: list[Column], name: str = "position", parts: int | None = None) -> DataFrame:
+    """1-based position in the global ``order`` (which must be total), sorted in ``parts`` ranges where given.
 
     A range-partitioned sort numbers the rows of each partition; the partition offsets are one row
     per partition, so their running sum is small whatever the data size."""
-    placed = cut(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts else df.orderBy(*order)
+    placed = cut(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33).alias("_part")
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
