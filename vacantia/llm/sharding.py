@@ -3,9 +3,9 @@
 Rows are sorted by (key, tie) and cut where the bytes below reach equal shares. Splitters are found without sorting: every
 round counts, in each partition, the exact bytes and rows below a set of candidate boundaries, sums these small histograms,
 and puts new candidates inside the interval that must hold each splitter, until no splitter is further from its share than the
-tolerance or than one row allows. Then rows move once, to the part their key falls in. A shard is made of as many parts as its
-bytes need, so no task sorts a whole shard; the histogram already tells how many rows precede a part, so slots need no further
-pass.
+tolerance or than one row allows. The boundaries asked for belong to the shards alone, so their number doesn't depend on the data.
+Then rows move once, into ranges of (key, tie) of ``part_rows`` rows, about, so no task sorts a whole shard. As shards follow the same
+order and the histogram tells how many rows lie below each, a slot is the position in that order less the rows below the shard.
 
 The tie is the row's number in a table written once to the shared folder: rows of one key (or copies, or repeated ids) are cut
 between like any others, and a lost executor doesn't change it. Law: ``bytes``. A splitter may be off by less than the larger of
@@ -19,18 +19,19 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import append, pick, table
-from vacantia.session import cut
+from vacantia.operators.positions import with_position
+from vacantia.session import cut, wide
 
 SHARDS = 40
 TOLERANCE = 1e-4
 #: Candidates per unsettled splitter and round.
 PROBES = 24
-#: Bytes (as sized) that one part may hold, about.
-PART_BYTES = 64 << 20
+#: Rows that one task sorts, about.
+PART_ROWS = 4_000_000
 _SIGN = np.uint64(1 << 63)
 
 
@@ -99,25 +100,27 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
     return out, [known[b][1] for b in out]
 
 
-def shard(rows: DataFrame, key: str, size: str, shards: int = SHARDS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``rows`` with shard and slot, near equal in the sum of ``size``; ``key`` (a long) orders rows over the shards."""
-    rows = rows.withColumn("_key", F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))).withColumn("_tie", F.monotonically_increasing_id())
-    rows = cut(rows.withColumn("size", F.col(size).cast("bigint")))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-total // (shards * part_bytes)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    bounds, before = splitters(rows, shards * per)
+def shard(rows: DataFrame, key: str, size: str, shards: int = SHARDS, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with shard and slot, near equal in the sum of ``size``; ``key`` (a long) orders rows over the shards.
+
+    Columns named shard or slot are replaced."""
+    spark, names = rows.sparkSession, [n for n in rows.columns if n.lower() not in ("shard", "slot")]
+    rows = cut(rows.select(
+        *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], F.col(f"`{size}`").cast("bigint").alias("size"),
+        F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(-(1 << 63))).alias("_key"), F.monotonically_increasing_id().alias("_tie")))
+    bounds, before = splitters(rows, shards)
     starts = [0, *before]
-    starts += [starts[-1]] * (shards * per - len(starts))
-    held = rows.sparkSession.sparkContext.broadcast((_bytes(bounds), np.array(starts, np.int64)))
+    held = spark.sparkContext.broadcast((_bytes(bounds), np.array(starts + [starts[-1]] * (shards - len(starts)), np.int64)))
+    parts = max(wide(spark), -(-rows.count() // part_rows))
+    placed = with_position(rows, [F.col("_key"), F.col("_tie")], "_place", parts)
 
     def place(batch: pa.RecordBatch) -> list:
         bounds, starts = held.value
-        part = np.searchsorted(bounds, _packed(batch), side="right")
-        return [pa.array(part), pa.array(part // per), pa.array(starts[part] - starts[part // per * per])]
+        at = np.searchsorted(bounds, _packed(batch), side="right")
+        return [pa.array(at), pa.array(batch.column("_place").to_numpy() - 1 - starts[at])]
 
-    inside = Window.partitionBy("_part").orderBy("_key", "_tie")
-    return append(rows, "_part int, shard int, _start bigint", place).withColumn(
-        "slot", F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start", "_key", "_tie")
+    found = append(placed, "shard int, slot bigint", place, ("_key", "_tie", "_place"))
+    return found.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "shard", "slot")
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
