@@ -121,3 +121,17 @@ def test_partners_are_in_neighbouring_bands():
     bands = Bands()
     for a in range(1, 3000):
         assert bands.of(a * 100 // 80) - bands.of(a) in (0, 1)
+
+
+def test_two_texts_under_one_id(spark, docs_of):
+    """Each text of an id links for itself, and the id joins what they link with."""
+    import random
+
+    rng = random.Random(9)
+    base = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    a, b, c = base(100), base(400), base(60)
+    near = lambda w, k: " ".join(w[:k] + ["changed"] + w[k + 1 :])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 50)), (3, near(b, 200)), (4, " ".join(c)), (5, None), (5, near(c, 30)), (6, "x"), (6, "x"), (7, "")]
+    for shift in (0, 2**62):  # numbers for the rows of repeated ids come from above or from below
+        got = sorted((r.doc_id - shift, r.component_id - shift) for r in near_duplicates(docs_of([(i + shift, t) for i, t in rows])).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (6, 6), (7, 7)]

@@ -354,10 +354,43 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    """doc_id, n_shingles, component_id of every row of ``docs``. Rows of one id are linked with each other."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    nameless = docs.where("doc_id is null")
-    docs, bands = docs.where("doc_id is not null"), Bands(percent)
+    nameless, named = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    again = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    known = _Hashes()
+
+    def alone(batches):
+        for b in batches:
+            n = [len(shingle_hashes(space_words(t), known)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
+
+    out = _components(named, percent) if again.isEmpty() else _of_repeated_ids(named, again, percent)
+    return out.unionByName(nameless.mapInArrow(alone, "doc_id long, n_shingles long, component_id long"))
+
+
+def _of_repeated_ids(docs: DataFrame, again: DataFrame, percent: int) -> DataFrame:
+    """Components where some ids (``again``) have several rows: these rows take part under numbers that no id has."""
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    row = F.monotonically_increasing_id()
+    number = F.lit(ends["hi"]) + 1 + row if ends["hi"] < (1 << 61) else F.lit(ends["lo"]) - 1 - row
+    several = cut(docs.join(again, "doc_id").withColumn("number", number))
+    rows = docs.join(again, "doc_id", "left_anti").unionByName(several.select(F.col("number").alias("doc_id"), "text"))
+    found = cut(_components(rows, percent))
+    held = found.join(several.select("doc_id", "number").withColumnRenamed("doc_id", "id"), found.doc_id == F.col("number"), "left").select(
+        F.coalesce("id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("part"))
+    held = cut(held)
+    # parts that meet in an id are one
+    meet = held.join(again, "doc_id").groupBy("doc_id").agg(F.min("part").alias("u")).join(held, "doc_id").select("u", F.col("part").alias("v")).where("u <> v").distinct()
+    whole = components(meet).select(F.col("node").alias("part"), "comp")
+    named = held.join(whole, "part", "left").withColumn("comp", F.coalesce("comp", "part"))
+    first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "comp").select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows whose ids are all different."""
+    bands = Bands(percent)
     found = _first_pass(docs, percent)
     meta = found.where("key is null").drop("key")
     full = meta.where("n > 0")
@@ -392,16 +425,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         groups = components(links.union(more))
     comp = groups.select(F.col("node").alias("rep"), "comp")
     label = full.join(classes, ["d1", "d2"]).join(comp, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
-    out = meta.select("doc", "n").join(label, "doc", "left").select(
+    return meta.select("doc", "n").join(label, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
-    known = _Hashes()
-
-    def alone(batches):
-        for b in batches:
-            n = [len(shingle_hashes(space_words(t), known)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
-
-    return out.unionByName(nameless.mapInArrow(alone, "doc_id long, n_shingles long, component_id long"))
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
