@@ -17,7 +17,7 @@ from vacantia.functions.text import let
 from vacantia.llm.common import SPACE, SPACE_CHARS, pick
 
 SYMBOLS = "#*$%&|<>"
-#: Frequent function words; a text of running sentences has at least a few different ones.
+#: Frequent function words; in a text of running sentences they make up a good share of the words. Case and marks around them don't count.
 STOP_WORDS = (
     "the of and to in is that for on with as was are this be by it at from or "
     "der die und das von zu mit ist im den nicht ein eine auf für "
@@ -49,7 +49,7 @@ class Rule:
 RULES = (
     Rule("mean_word", "word_chars / n_words", 2.0, 20.0),
     Rule("symbols", "n_symbols / n_words", high=0.2),
-    Rule("stop_words", "n_stop_words", low=2),
+    Rule("stop_words", "n_stop_words / n_words", low=0.06),
     Rule("dup_lines", "n_dup_lines / n_lines", high=0.5),
     Rule("upper", "n_upper / word_chars", high=0.5),
 )
@@ -96,14 +96,14 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     solid = F.translate(t, SPACE_CHARS, "")
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
+    stop = rf"(?<!\p{{L}})(?:{'|'.join(dict.fromkeys(STOP_WORDS))})(?!\p{{L}})"
     counts = F.struct(
         F.size("w").cast("bigint").alias("n_words"),
         F.length(solid).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("lines"),
         _windows_twice(F.col("w")).cast("bigint").alias("n_repeat_words"),
-        F.size(F.array_intersect(F.col("w"), stop)).cast("bigint").alias("n_stop_words"),
+        F.regexp_count(F.lower(t), F.lit(stop)).cast("bigint").alias("n_stop_words"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("bigint").alias("n_upper"),
     )
     base = (
@@ -123,7 +123,7 @@ def quality_sql(rules: tuple[Rule, ...] = RULES) -> str:
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     fails = []
     for r in rules:
-        value = r.value.replace("word_chars /", "word_chars::DOUBLE /")
+        value = r.value.replace(" /", "::DOUBLE /")
         part = [f"({value}) < {r.low}"] * (r.low is not None) + [f"({value}) > {r.high}"] * (r.high is not None)
         fails.append("coalesce(" + " OR ".join(part) + ", FALSE)")
     stops = ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))
@@ -138,7 +138,7 @@ n AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i +
 b AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(translate(text, {blank}, ''))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words,
-  len(list_intersect(list_distinct(w), [{stops}]))::BIGINT AS n_stop_words,
+  len(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: list_contains([{stops}], x)))::BIGINT AS n_stop_words,
   length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, len(l)::BIGINT AS n_lines
   FROM w LEFT JOIN n USING (rid)),
 f AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,

@@ -87,24 +87,34 @@ class Digest:
                 j += 1
 
 
-def build(spark: SparkSession, entries: DataFrame, block: int = 2_000_000) -> tuple[list[str], list[int]]:
-    """Digest files of ``entries(entry string, kind int)`` on every executor, and the path lengths that entries have.
+def build(spark: SparkSession, entries: DataFrame, block: int = 2_000_000) -> tuple[list[str], list[int], int]:
+    """Digest files of ``entries(entry string, kind int)`` on every executor, the path lengths that entries have and their longest host.
 
     At most ``block`` entries are on the driver at a time, whatever their number."""
     entries = entries.where("entry is not null").distinct()
     cut = F.locate("/", "entry")
     path = F.when(cut > 0, F.length("entry") - cut + 1).otherwise(0)
-    row = entries.agg(F.count(F.lit(1)).alias("n"), F.collect_set(path).alias("k")).first()
+    row = entries.agg(F.count(F.lit(1)).alias("n"), F.collect_set(path).alias("k"), F.max(F.length("entry") - path).alias("host")).first()
     parts, names = max(1, -(-row["n"] // block)), []
     for i in range(parts):
         rows = entries.where(F.pmod(F.xxhash64("entry"), F.lit(parts)) == i).collect()
         names.append(share_file(spark, f"url-digest-{os.urandom(6).hex()}-{i}", _file([(r["entry"].encode(), r["kind"]) for r in rows])))
-    return names, sorted(row["k"])
+    return names, sorted(row["k"]), row["host"] or 0
+
+
+def suffixes(host: str, longest: int) -> Iterable[str]:
+    """The host and its parent domains, longest first, as far as they have at most ``longest`` characters."""
+    if len(host) <= longest:
+        yield host
+    at = host.find(".", max(0, len(host) - longest - 1))
+    while at >= 0:
+        yield host[at + 1 :]
+        at = host.find(".", at + 1)
 
 
 def judge(pages: DataFrame, entries: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, host, path, rule, verdict, listed (the listed entry that fits, else null) of every row of ``pages``."""
-    names, lengths = build(pages.sparkSession, entries)
+    names, lengths, longest = build(pages.sparkSession, entries)
     open_files: dict[str, Digest] = {}
 
     def probe(batch: pa.RecordBatch) -> list:
@@ -115,9 +125,7 @@ def judge(pages: DataFrame, entries: DataFrame, page_id: str = "page_id", url: s
             if not host:
                 continue
             ends = [path[:k].encode() for k in lengths if k <= len(path)]
-            labels = host.split(".")
-            for j in range(len(labels)):
-                name = ".".join(labels[j:])
+            for name in suffixes(host, longest):
                 for end in ends:
                     words.append(name.encode() + end)
                     owner.append(i)
