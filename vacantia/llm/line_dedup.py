@@ -93,20 +93,25 @@ def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs removed from ``text``, and n_lines, n_removed (lines) and emptied (nothing is left)."""
-    slim = docs.select(F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("rk"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """``docs`` with repeated runs removed from ``text``, and n_lines, n_removed (lines) and emptied (nothing is left).
+
+    Columns named like the new ones are replaced; any other passes through."""
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "emptied")]
+    docs = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"_c{i}") for i, c in enumerate(names)], F.col(f"`{doc_id}`").alias("doc_id"))
+    row = F.xxhash64("doc_id", "text")
+    slim = docs.select(row.alias("rk"), "doc_id", "text")
     counted = _chunks(slim, True).groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     repeated = cut(counted.groupBy("h").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where("n > 1 and kinds = 1"))
     mine = F.col("first").isNull() | F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
     marks = _chunks(slim, False).join(repeated.select("h", "first"), "h").groupBy("rk").agg(
         F.collect_set(F.struct("at", "n", mine.alias("mine"))).alias("_marks"))
-    rows = docs.withColumn("_rk", F.xxhash64(f"`{doc_id}`", f"`{text}`"))
+    rows = docs.withColumn("_rk", row)
     joined = rows.join(marks.withColumnRenamed("rk", "_rk"), "_rk", "left")
 
     def clean(batch: pa.RecordBatch) -> list:
         out: list[list] = [[], [], [], []]
-        for old, marks in zip(batch.column(text).to_pylist(), batch.column("_marks").to_pylist()):
+        for old, marks in zip(batch.column("text").to_pylist(), batch.column("_marks").to_pylist()):
             lines = old.split("\n") if old else []
             gone = _removed(lines, {(m["at"], m["n"]): m["mine"] for m in marks or ()}, min_words)
             left = [x for i, x in enumerate(lines) if i not in gone]
@@ -114,8 +119,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                 c.append(x)
         return out
 
-    order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "emptied")] + ["n_lines", "n_removed", "emptied"]
-    return append(joined, f"`{text}` string, n_lines long, n_removed long, emptied boolean", clean, ("_rk", "_marks")).select(*[f"`{c}`" for c in order])
+    done = append(joined, "text string, n_lines long, n_removed long, emptied boolean", clean, ("_rk", "_marks", "doc_id"))
+    return done.select(*[F.col("text" if c == text else f"_c{i}").alias(c) for i, c in enumerate(names)], "n_lines", "n_removed", "emptied")
 
 
 def _removed(lines: list[str], marks: dict[tuple[int, int], bool], min_words: int) -> set[int]:

@@ -185,9 +185,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; written once to the shared folder."""
-    spark = pieces.sparkSession
-    pieces = cut(pieces)
+    """``pieces`` (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; written once to the shared folder.
+
+    Columns named sequence_id or offset are replaced; any other passes through."""
+    spark, own = pieces.sparkSession, ("doc_id", "piece", "length", "ids_crc32")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    inner = {c: c if c in own else f"_c{i}" for i, c in enumerate(names)}
+    pieces = cut(pieces.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()]))
     sizes = cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_all")))  # at most one row per length
     counts = {r["length"]: r["_all"] for r in sizes.collect()}
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("_all") / group)).cast("int")
@@ -209,7 +213,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         at = np.searchsorted(keys, length * (1 << 40) + place, side="right") - 1
         return [pa.array(rows[at, 3] + place - rows[at, 1]), pa.array(rows[at, 4])]
 
-    return append(placed, "sequence_id bigint, offset bigint", find, drop=("_place",))
+    found = append(placed, "sequence_id bigint, offset bigint", find, drop=("_place",))
+    return found.select(*[F.col(x).alias(c) for c, x in inner.items()], "sequence_id", "offset")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
