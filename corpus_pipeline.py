@@ -39,6 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without words or without an id all stay."""
+    names, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)])
     marks = parity_join.near_duplicates(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(marks, F.col("doc_id") == F.col("_gone"), "left_anti")
     # rows that repeat a doc_id with words are copies or one document: one of them stays
@@ -47,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     single = left.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
     several = left.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return single.unionByName(several.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    return single.unionByName(several.withColumn("_rank", rank).where("_rank = 1").drop("_rank")).toDF(*names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
