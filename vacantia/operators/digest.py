@@ -1,10 +1,11 @@
 """Digest tables: groups, source health, funnel, scoring outcome and the send decision."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.operators.positions import with_position
+from vacantia.session import cut
 
 
 def group_sizes(df: DataFrame) -> DataFrame:
@@ -15,12 +16,13 @@ def group_sizes(df: DataFrame) -> DataFrame:
 def digest_order(df: DataFrame) -> DataFrame:
     """Ranked postings in presentation order: ``position`` overall and ``place`` in the group.
 
-    Groups by size then name; inside a group newest first, undated last, ties by relevance."""
-    sizes = df.groupBy("source").agg(F.count(F.lit(1)).alias("group_size"))
-    order = [F.desc("group_size"), F.col("source"), F.desc_nulls_last("posted_date"), F.desc("relevance"), F.col("ord")]
-    placed = with_position(df.join(sizes, "source"), order)
-    starts = placed.groupBy("source").agg(F.min("position").alias("_first"))
-    return placed.join(starts, "source").withColumn("place", F.col("position") - F.col("_first") + 1).drop("_first")
+    Groups by size then name; inside a group newest first, undated last, ties by relevance. The group counts, one row per source,
+    tell how many rows stand before a group, so the wide rows are sorted once and joined with nothing else."""
+    before = Window.orderBy(F.desc("group_size"), "source").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut(df.groupBy("source").agg(F.count(F.lit(1)).alias("group_size")).withColumn("_before", F.coalesce(F.sum("group_size").over(before), F.lit(0))))
+    order = [F.col("_before"), F.desc_nulls_last("posted_date"), F.desc("relevance"), F.col("ord")]
+    placed = with_position(df.withColumnRenamed("source", "_source").join(sizes, F.col("_source").eqNullSafe(F.col("source"))).drop("_source"), order)
+    return placed.withColumn("place", F.col("position") - F.col("_before")).select(*df.columns, "group_size", "position", "place")
 
 
 def source_health(log: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from vacantia.functions import (
     parse_iso, parse_relative_posted, parse_workday_url, pretty_company, snippet_of, stable_job_id, strip_html,
 )
 from vacantia.schema import POSTING, SOURCES
+from vacantia.session import cut
 
 # Payload schemas. Ids, amounts and epochs may arrive as number or text, so they are read as text.
 GREENHOUSE = """struct<jobs:array<struct<id:string,title:string,location:struct<name:string>,
@@ -69,9 +70,21 @@ def as_posting(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def latest_landed(raw: DataFrame) -> DataFrame:
-    """Of a board that was landed several times, the latest record (of equal times, any one)."""
-    order = Window.partitionBy("source", "board").orderBy(F.desc("fetched_at"), F.xxhash64("payload", "error"))
-    return raw.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """Of a board that was landed several times, the latest record (of equal times, any one).
+
+    The winners are chosen from slim rows (board, time, hash); payloads are neither sorted nor shuffled but filtered where they are
+    read. Only records that are equal in all of that are told apart by moving them."""
+    mark = F.xxhash64("payload", "error")
+    slim = raw.groupBy(F.col("source").alias("_source"), F.col("board").alias("_board"), F.col("fetched_at").alias("_at"), mark.alias("_mark")).agg(
+        F.count(F.lit(1)).alias("_copies"))
+    best = cut(slim.groupBy("_source", "_board").agg(F.max(F.struct("_at", "_mark", "_copies")).alias("b")).select("_source", "_board", "b.*"))
+    same = (F.col("source").eqNullSafe(F.col("_source")) & F.col("board").eqNullSafe(F.col("_board"))
+            & F.col("fetched_at").eqNullSafe(F.col("_at")) & (mark == F.col("_mark")))
+    single = raw.join(best.where("_copies = 1"), same).select(raw["*"])
+    several = best.where("_copies > 1")
+    if several.isEmpty():
+        return single
+    return single.unionByName(raw.join(several, same).select(raw["*"]).dropDuplicates(["source", "board"]))
 
 
 def isolate(raw: DataFrame) -> DataFrame:
