@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import quality_flags
 from vacantia.operators import criteria as K
 from vacantia.operators.seen import drop_seen, seen_ids
+from vacantia.operators.targets import at_targets, target_links
 from vacantia.plans.base import NOW, NOW_SQL, count_sql, postings, table, with_postings, word_count_sql, word_sql
 
 c = F.col
@@ -104,6 +105,40 @@ TARGET_SQL = f"""WITH x AS (SELECT c_custkey AS key, c_name AS company FROM cust
 y AS (SELECT *, regexp_extract_all(lower(company), '[a-z0-9]+') AS t FROM x)
 SELECT key, company FROM y WHERE len(t) > 0 AND ({' OR '.join(f'list_has_all(t, {w}) OR list_has_all({w}, t)' for w in _TARGETS)})"""
 
+
+
+def _employers(spark, sf):
+    """Names of customers, suppliers and branded parts, with their rows; and a long list of targets, some wider than a name, some narrower."""
+    people, makers, parts = (table(spark, sf, t) for t in ("customer", "supplier", "part"))
+    names = people.select(c("c_custkey").alias("key"), c("c_name").alias("company")).unionByName(
+        makers.select(c("s_suppkey").alias("key"), c("s_name").alias("company"))).unionByName(
+        parts.select(c("p_partkey").alias("key"), F.concat_ws(" ", "p_brand", "p_name").alias("company")))
+    targets = people.where("c_custkey % 3 = 0").select(F.concat(c("c_name"), F.lit(" Holding, Inc.")).alias("target")).unionByName(
+        makers.where("s_suppkey % 2 = 0").select(F.substring_index("s_name", "#", -1).alias("target"))).unionByName(
+        parts.where("p_partkey % 5 = 0").select(F.concat_ws(" / ", "p_name", F.substring_index("p_brand", "#", -1)).alias("target")))
+    return names, targets
+
+
+def target_index(spark, sf):
+    """Per company name the targets it matches, by the containment index."""
+    links = target_links(*_employers(spark, sf))
+    return links.groupBy("company").agg(F.count(F.lit(1)).alias("targets"), F.min("target").alias("first_target"))
+
+
+def target_rows(spark, sf):
+    """Rows at any of the targets."""
+    return at_targets(*_employers(spark, sf)).select("key", "company")
+
+
+_EMPLOYERS_SQL = """x AS (SELECT c_custkey AS key, c_name AS company FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier
+  UNION ALL SELECT p_partkey, p_brand || ' ' || p_name FROM part),
+g AS (SELECT c_name || ' Holding, Inc.' AS target FROM customer WHERE c_custkey % 3 = 0 UNION SELECT split_part(s_name, '#', 2) FROM supplier WHERE s_suppkey % 2 = 0
+  UNION SELECT p_name || ' / ' || split_part(p_brand, '#', 2) FROM part WHERE p_partkey % 5 = 0),
+y AS (SELECT DISTINCT company, regexp_extract_all(lower(company), '[a-z0-9]+') AS t FROM x), h AS (SELECT target, regexp_extract_all(lower(target), '[a-z0-9]+') AS w FROM g),
+links AS (SELECT company, target FROM y, h WHERE list_has_all(t, w) OR list_has_all(w, t))"""
+TARGET_INDEX_SQL = f"WITH {_EMPLOYERS_SQL} SELECT company, count(*) AS targets, min(target) AS first_target FROM links GROUP BY company"
+TARGET_ROWS_SQL = f"WITH {_EMPLOYERS_SQL} SELECT key, company FROM x WHERE company IN (SELECT company FROM links)"
+
 QUERIES = {
     "filter_must_have": (_filter(K.Criteria(must_have=("the", " ", "OU")), K.must_have), _sql(MUST_SQL)),
     "filter_must_have_word_title": (
@@ -131,4 +166,6 @@ QUERIES = {
     "seen_antijoin": (seen_antijoin, with_postings(
         "SELECT job_id, source FROM postings WHERE job_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")),
     "target_companies": (target_companies, TARGET_SQL),
+    "target_index": (target_index, TARGET_INDEX_SQL),
+    "target_rows": (target_rows, TARGET_ROWS_SQL),
 }

@@ -62,10 +62,11 @@ def board_table(spark: SparkSession, settings: dict[str, FeedSettings]) -> DataF
     return spark.createDataFrame(rows, "source string, board string, board_ord int")
 
 
-def read_feeds(landing: Landing, settings: dict[str, FeedSettings], now, wanted=None) -> DataFrame | None:
+def read_feeds(landing: Landing, settings: dict[str, FeedSettings], now,
+               wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """Postings of all enabled feeds. ``landing.raw`` must have passed ``isolate``.
 
-    Of scraped rows only those that meet ``wanted`` are read; a limit counts what is left, so it never hides a wanted row
+    Of scraped rows only those that ``wanted`` keeps are read; a limit counts what is left, so it never hides a wanted row
     behind others."""
     out = []
     for name, feed in enabled_feeds(settings):
@@ -73,7 +74,7 @@ def read_feeds(landing: Landing, settings: dict[str, FeedSettings], now, wanted=
             out.append(READERS[name](landing, feed, now))
         elif name in SCRAPED_SOURCES and landing.tabular and name in landing.tabular:
             rows = _feeds.read_board_rows(landing.tabular[name], name)
-            rows = rows if wanted is None else rows.where(wanted)
+            rows = rows if wanted is None else wanted(rows)
             if feed.limit is not None:
                 rows = cap_per_board(rows.withColumn("board", F.col("source")), feed.limit).drop("board")
             out.append(rows)
