@@ -232,3 +232,42 @@ def test_run_decision(spark, oks, new, args, want):
     health = spark.createDataFrame([(o,) for o in oks], "ok boolean")
     row = run_decision(health, spark.createDataFrame([(new,)], "new long"), **args).first()
     assert (row["all_failed"], row["send"], row["subject"]) == want
+
+
+def test_store_is_not_shuffled_for_a_run(spark, tmp_path, monkeypatch):
+    """The ids of a run go to the store; past the limit both sides are shuffled, with the same rows."""
+    from vacantia.operators import seen as S
+
+    store = SeenTable(spark, str(tmp_path / "seen"))
+    store.record(frame(spark, [posting("a"), posting("b"), posting(""), posting(None)]), "b1", NOW)
+    store.record(frame(spark, [posting("a"), posting("z")]), "b2", NOW)
+    rows = frame(spark, [posting(i) for i in ("a", "a", "c", "", None, "z")])
+    want = [("", False), ("a", True), ("a", True), ("c", False), ("z", True), (None, False)]
+    plans = []
+    real = S.cut
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(S, "cut", spied)
+    for limit in (S.BROADCAST_IDS, 1):
+        monkeypatch.setattr(S, "BROADCAST_IDS", limit)
+        got = [(r["job_id"], r["seen"]) for r in S.mark_seen(rows, store.load()).collect()]
+        assert sorted(got, key=lambda r: (r[0] is None, r)) == want
+    met = plans[1]
+    assert "BroadcastHashJoin" in met and met.index("HashAggregate") < met.index("BroadcastHashJoin")
+    below = met[met.index("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in below and "Exchange hashpartitioning" in plans[3][plans[3].index("Join"):]
+
+
+def test_feeds_are_read_once_and_the_filter_runs_once(spark, monkeypatch):
+    from vacantia.plans import daily
+
+    calls = []
+    real = daily.filter_postings
+    monkeypatch.setattr(daily, "filter_postings", lambda *a: calls.append(1) or real(*a))
+    out = run(spark, [posting("1"), posting("2", title="Gardener", company="Other")], seen=spark.createDataFrame([("2",), ("9",)], "job_id string"))
+    plan = out.funnel._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "description" not in "".join(line for line in plan.split("\n") if "Filter" in line)
+    assert out.funnel.first().asDict()["seen_skipped"] == 1 and out.fetched.count() == 2

@@ -7,9 +7,10 @@ from vacantia.functions import quality_flags
 from vacantia.operators import criteria as K
 from vacantia.operators import digest as D
 from vacantia.operators.scoring import attach_scores, score_rows, scoring_budget
-from vacantia.operators.seen import seen_ids
+from vacantia.functions.terms import WORD_TERMS
+from vacantia.operators.seen import SeenTable, seen_ids
 from vacantia.plans.base import NOW, NOW_SQL, POSTINGS_SQL, micros, postings, table, with_postings
-from vacantia.plans.daily import run_postings
+from vacantia.plans.daily import ScoreSettings, publish, run_postings
 from vacantia.plans.filters import FULL, FULL_WHERE, RANK, RELEVANCE_SQL
 from vacantia.plans.merging import _TITLE_TEXT, _greedy_sql
 from vacantia.session import scratch_path
@@ -172,8 +173,8 @@ _POINTS = f"""{_FULL_MUST} + {_FULL_NICE} + CASE WHEN posted_date IS NOT NULL TH
   - 0.5::DOUBLE * CASE flags WHEN '' THEN 0 WHEN 'no_salary,no_date' THEN 2 ELSE 1 END + coalesce(llm_score / 20.0::DOUBLE, 0)"""
 
 
-def _run_sql(tail: str) -> str:
-    body = _greedy_sql(POSTINGS_SQL.strip(), "postings", _TITLE_TEXT, "doc_id")
+def _run_sql(tail: str, head: str = POSTINGS_SQL) -> str:
+    body = _greedy_sql(head.strip(), "postings", _TITLE_TEXT, "doc_id")
     return body[: body.rindex("SELECT win_id AS job_id")].rstrip() + f",\n{_MERGED}\n{tail}"
 
 
@@ -183,9 +184,54 @@ FUNNEL_SQL = _run_sql("""SELECT (SELECT count(*) FROM postings) AS fetched, (SEL
   (SELECT count(*) FROM passed WHERE job_id IN (SELECT id FROM seen)) AS seen_skipped, 0::BIGINT AS llm_scored,
   (SELECT count(*) FROM passed WHERE job_id NOT IN (SELECT id FROM seen)) AS after_llm, (SELECT count(*) FROM passed WHERE job_id NOT IN (SELECT id FROM seen)) AS new""")
 
+# --- what a run publishes ------------------------------------------------------------------------
+# Each posting names one technology, so that the skills of the digest are checked too.
+
+_WORDS, _SHOWN = [aliases[0].upper() for _, aliases in WORD_TERMS], [name for name, _ in WORD_TERMS]
+
+
+def publish_run(spark, sf):
+    """A scored run, published and read back: digest with skills, health, outcome, decision and the ids recorded, as (part, key, value)."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (c("ord.row_ord") % len(_WORDS) + 1).cast("int"))
+    rows = postings(spark, sf).withColumn("description", F.concat("description", F.lit(" We use "), word, F.lit(", daily.")))
+    store, out = SeenTable(spark, scratch_path(spark, "seen")), scratch_path(spark, "published")
+    store.add(table(spark, sf, "labels").where("quality = 0").select(
+        c("doc_id").cast("string").alias("job_id"), *[F.lit("").alias(x) for x in ("title", "company", "source", "first_seen")]), "earlier")
+    run = run_postings(rows, FULL, NOW, store.load(), ScoreSettings(_title_scorer, "data", min_score=40, max_jobs=None))
+    run.health = _health(spark, sf)
+    publish(run, out, store, "b1", NOW)
+
+    def part(name, *cols):
+        df = store.records().where("batch_id = 'b1'") if name == "recorded" else spark.read.parquet(f"{out}/{name}/batch_id=b1")
+        key, value = cols
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+    return (part("digest", c("job_id"), F.array_join("skills", ","))
+            .unionByName(part("health", c("source"), F.concat_ws("|", "ok", "count", "near_empty", "error")))
+            .unionByName(part("outcome", c("error"), F.concat_ws("|", "scored", "failed", "systemic")))
+            .unionByName(part("decision", c("subject"), F.concat_ws("|", "all_failed", "new", "send")))
+            .unionByName(part("funnel", F.lit("counts"), F.concat_ws("|", *D.STAGES)))
+            .unionByName(part("recorded", c("job_id"), c("first_seen"))))
+
+
+_SKILLED = POSTINGS_SQL.replace("d.text AS description", f"d.text || ' We use ' || ({_WORDS!r})[d.doc_id % {len(_WORDS)} + 1] || ', daily.' AS description")
+PUBLISH_SQL = _run_sql(f"""SELECT * FROM (WITH fresh AS (SELECT job_id, title, length(title) % 10 = 3 AS bad, greatest(0, least(100, length(title) * 3 - 10)) AS points
+    FROM passed WHERE job_id NOT IN (SELECT id FROM seen)),
+  kept AS (SELECT * FROM fresh WHERE bad OR points >= 40), h AS ({HEALTH_SQL}), n AS (SELECT count(*) AS new FROM kept), a AS (SELECT bool_and(NOT ok) AS all_failed FROM h)
+  SELECT 'digest' AS part, job_id AS key, ({_SHOWN!r})[CAST(job_id AS BIGINT) % {len(_SHOWN)} + 1] AS value FROM kept
+  UNION ALL SELECT 'health', source, concat_ws('|', ok, count, near_empty, error) FROM h
+  UNION ALL SELECT 'outcome', min_by('RuntimeError: no score for ' || job_id, CAST(job_id AS BIGINT)) FILTER (WHERE bad),
+    concat_ws('|', count(*) FILTER (WHERE NOT bad), count(*) FILTER (WHERE bad), count(*) FILTER (WHERE bad) > 0 AND count(*) FILTER (WHERE NOT bad) = 0) FROM fresh
+  UNION ALL SELECT 'decision', CASE WHEN all_failed THEN '[Job Digest] ⚠ all sources failed' ELSE '[Job Digest] ' || new || ' new job' || CASE WHEN new = 1 THEN '' ELSE 's' END END,
+    concat_ws('|', all_failed, new, new > 0 OR all_failed) FROM a, n
+  UNION ALL SELECT 'funnel', 'counts', concat_ws('|', (SELECT count(*) FROM postings), (SELECT count(*) FROM merged), (SELECT count(*) FROM passed),
+    (SELECT count(*) FROM passed WHERE job_id IN (SELECT id FROM seen)), (SELECT count(*) FROM fresh WHERE NOT bad), n.new, n.new) FROM n
+  UNION ALL SELECT 'recorded', job_id, '2024-01-03T12:00:00.000000+00:00' FROM kept, a, n WHERE new > 0 OR all_failed)""", _SKILLED)
+
 QUERIES = {
     "daily_run": (daily_run, DAILY_SQL),
     "funnel": (funnel, FUNNEL_SQL),
+    "publish_run": (publish_run, PUBLISH_SQL),
     "source_health": (source_health, HEALTH_SQL),
     "run_decision": (run_decision, DECISION_SQL),
     "digest_groups": (digest_groups, with_postings("SELECT source, count(*) AS n FROM postings GROUP BY source")),
