@@ -9,7 +9,9 @@ from vacantia.plans.scalars import _CLEAN_SQL
 from vacantia.operators.criteria import Criteria
 from vacantia.plans.daily import run_landing
 from vacantia.schema import RAW
+from vacantia.session import scratch_path
 from vacantia.sources import feeds
+from vacantia.sources.adapter import FolderFeed
 from vacantia.sources.registry import READERS, FeedSettings, Landing, register_feed
 
 c = F.col
@@ -310,6 +312,54 @@ def custom_feed(spark, sf):
 
 CUSTOM_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS job_id, 'ownfeed' AS source, count(*) OVER () AS count FROM part WHERE p_partkey % 4 <> 0"""
 
+# --- the feed adapter: payloads in a folder, 50 events a board -----------------------------------------
+
+_BOARD_EVENTS = 50
+
+
+def _land_events(spark, sf, path: str, version: int, only=None) -> None:
+    """One version of each board; every seventh board is unreadable."""
+    k = c("event_id")
+    n = F.floor(k / _BOARD_EVENTS)
+    rows = table(spark, sf, "events").where(F.lit(True) if only is None else only(n))
+    item = F.struct(k.alias("k"), F.struct(k.cast("string").alias("id"), F.concat(c("event_type"), F.lit(f" {version}")).alias("text")).alias("v"))
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]))  # of 50 rows
+    boards = rows.groupBy(n.alias("n")).agg(body.alias("items")).select(
+        F.when(c("n") % 7 == 0, "{oops").otherwise(c("items")).alias("value"), F.lit(version).alias("fetched_ms"), F.concat(F.lit("team "), c("n"), F.lit("/x")).alias("board"))
+    boards.write.mode("append").partitionBy("fetched_ms", "board").text(path)
+
+
+def feed_source(spark, sf):
+    """Boards by the adapter, a third of them landed twice: postings of the newest version of the readable ones."""
+    path = scratch_path(spark, "boards")
+    _land_events(spark, sf, path, 1)
+    _land_events(spark, sf, path, 2, lambda n: n % 3 == 0)
+    spark.dataSource.register(FolderFeed)
+    raw = spark.read.format("board_folder").option("path", path).load().withColumn("source", F.lit("lever"))
+    return feeds.read_lever(feeds.isolate(raw)).select("job_id", "title", "source")
+
+
+FEED_SOURCE_SQL = f"""SELECT 'lever' AS source, event_type || CASE WHEN n % 3 = 0 THEN ' 2' ELSE ' 1' END AS title, substr(sha1('lever:' || event_id), 1, 16) AS job_id
+  FROM (SELECT *, event_id // {_BOARD_EVENTS} AS n FROM events) WHERE n % 7 <> 0"""
+
+
+def stream_source(spark, sf):
+    """The adapter as a stream that is started once for each landing: every board, then those that were landed again."""
+    path, out, checkpoint = (scratch_path(spark, x) for x in ("boards", "out", "ckpt"))
+    spark.dataSource.register(FolderFeed)
+    for version, only in ((1, None), (2, lambda n: n % 3 == 0)):
+        _land_events(spark, sf, path, version, only)
+        stream = spark.readStream.format("board_folder").option("path", path).load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read = feeds.isolate(spark.read.parquet(out).withColumn("source", F.lit("lever")))
+    return read.select("board", "board_ord", F.unix_millis("fetched_at").alias("fetched_ms"), "ok")
+
+
+STREAM_SOURCE_SQL = f"""WITH b AS (SELECT DISTINCT event_id // {_BOARD_EVENTS} AS n FROM events),
+p AS (SELECT n, 'team ' || n || '/x' AS board, CAST(row_number() OVER (ORDER BY 'board=team ' || n || '%2Fx') - 1 AS INTEGER) AS board_ord FROM b)
+SELECT board, board_ord, v AS fetched_ms, n % 7 <> 0 AS ok FROM p, (VALUES (1::BIGINT), (2)) AS t(v) WHERE v = 1 OR n % 3 = 0"""
+
+
 QUERIES = {
     "feed_greenhouse": (feed_greenhouse, GREENHOUSE_SQL),
     "feed_lever": (feed_lever, LEVER_SQL),
@@ -318,6 +368,8 @@ QUERIES = {
     "feed_workday_list_only": (feed_workday_list_only, WORKDAY_LIST_SQL),
     "target_run": (target_run, TARGET_SQL),
     "custom_feed": (custom_feed, CUSTOM_SQL),
+    "feed_source": (feed_source, FEED_SOURCE_SQL),
+    "stream_source": (stream_source, STREAM_SOURCE_SQL),
     "feed_rows": (feed_rows, ROWS_SQL),
     "union_feeds": (union_feeds, UNION_SQL),
     "feed_isolation": (feed_isolation, ISOLATION_SQL),
