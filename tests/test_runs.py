@@ -11,6 +11,7 @@ from vacantia.operators.digest import run_decision, source_health
 from vacantia.operators.seen import SeenTable
 from vacantia.plans.daily import ScoreSettings, publish, run_landing, run_postings
 from vacantia.schema import RAW
+from vacantia.sources import feeds
 from vacantia.sources.registry import FeedSettings, Landing
 
 ENG = [posting(i, title=t, company=c) for i, t, c in (
@@ -271,3 +272,48 @@ def test_feeds_are_read_once_and_the_filter_runs_once(spark, monkeypatch):
     plan = out.funnel._jdf.queryExecution().optimizedPlan().toString()
     assert len(calls) == 1 and "description" not in "".join(line for line in plan.split("\n") if "Filter" in line)
     assert out.funnel.first().asDict()["seen_skipped"] == 1 and out.fetched.count() == 2
+
+
+def test_a_payload_is_parsed_once(spark):
+    """One parse in the plan of each reader, and none in what a run reads after its landed table was written."""
+    site = "https://x.wd1.myworkdayjobs.com/en-US/Careers"
+    raw = landing(spark, [("greenhouse", "x", True, {"jobs": [{"id": 1, "title": "A"}]}), ("lever", "l", True, [{"id": "k"}]),
+                          ("ashby", "a", True, {"jobs": [{"id": 2}]}), ("workday", site, True, {"jobPostings": [{"title": "P"}]})])
+    log = feeds.isolate(raw)
+    readers = (feeds.read_greenhouse, feeds.read_lever, feeds.read_ashby, lambda x: feeds.read_workday(x, None, F.lit(NOW)))
+    for read in readers:
+        plan = read(log)._jdf.queryExecution().optimizedPlan().toString()
+        pages = "jobPostingInfo" in plan  # of another table: its payloads are parsed once too
+        assert plan.count("parseJson(") == 1 + pages and "from_json" not in plan
+    table = feeds.parse_once(log)
+    for read in readers:
+        plan = read(table)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson(") == ("jobPostingInfo" in plan) and "PartitionFilters: [isnotnull(source" in plan and read(table).count() == 1
+    slim = table.select("source", "board", "ok")._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in slim and table.where("payload IS NOT NULL").count() == 0
+
+
+def test_odd_payloads(spark):
+    """Items that are no objects are left out alone, fields of another type are missing, boards without an array have no rows."""
+    jobs = [{"id": 1, "title": "A", "location": "not an object"}, None, 7, {"id": "b", "title": ["x"], "location": {"name": "Rome"}}]
+    raw = landing(spark, [("greenhouse", "x", True, {"jobs": jobs}), ("greenhouse", "none", True, {"jobs": None}),
+                          ("greenhouse", "map", True, {"jobs": {"a": 1}}), ("greenhouse", "list", True, [1]), ("greenhouse", "down", False, {"jobs": jobs})])
+    raw = raw.unionByName(raw.where("board = 'x'").withColumn("board", F.lit("bad")).withColumn("payload", F.lit("{oops")))
+    log = feeds.isolate(raw)
+    rows = {r["ord"]["row_ord"]: r for r in feeds.read_greenhouse(log).collect()}
+    assert [(k, rows[k]["title"], rows[k]["location"]) for k in sorted(rows)] == [(0, "A", ""), (1, '["x"]', "Rome")]
+    ok = {r["board"]: r["ok"] for r in log.collect()}
+    assert ok == {"x": True, "none": True, "map": True, "list": False, "down": False, "bad": False}
+
+
+def test_latest_page_of_a_posting(spark):
+    """The latest readable page counts; unreadable later pages and postings without a path don't."""
+    site = "https://x.wd1.myworkdayjobs.com/en-US/Careers"
+    page = lambda t: json.dumps({"jobPostingInfo": {"title": t}})
+    day = lambda n: NOW + timedelta(days=n)
+    details = spark.createDataFrame([
+        (site, "/a", True, page("old"), day(0)), (site, "/a", True, page("new"), day(1)), (site, "/a", True, page("new"), day(1)), (site, "/a", True, "{oops", day(2)),
+        (site, "/a", False, page("failed"), day(3)), (site, "/b", True, page("undated"), None), (site, "", True, page("no path"), day(1)), (site, "/c", True, "{oops", day(1)),
+    ], "board string, external_path string, ok boolean, payload string, fetched_at timestamp")
+    got = {r["path"]: r["info"]["title"] for r in feeds._latest_details(details).collect()}
+    assert got == {"/a": "new", "/b": "undated"}

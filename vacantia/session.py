@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """``df`` written to the checkpoint folder as a table and read back, which cuts the lineage of wide rows.
+
+    Unlike a checkpoint it is compressed, and later steps read only the columns (and, by ``parts``, the folders) that they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def wide(spark: SparkSession) -> int:
     """Partition count for CPU-heavy steps on few bytes, which AQE would pack into too few tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -1,39 +1,37 @@
 """Landed board payloads to postings, one function per feed.
 
-Input is one record per fetched board (schema ``RAW``); payloads are parsed with fixed schemas, so
-a missing field is NULL. The per-board row limit is applied to the parsed array before it is
-exploded: it needs no shuffle and no window."""
+Input is one record per fetched board (schema ``RAW``). A payload is parsed once, to the variant column ``body``; readers take typed
+fields out of it, so a missing field, and one of another type, is NULL. The per-board row limit is applied to the array before it
+is exploded: it needs no shuffle and no window."""
 from __future__ import annotations
 
 import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import (
     coerce_amount, falsy_to_null, format_salary, make_snippet, normalize_job_type, parse_epoch_ms,
     parse_iso, parse_relative_posted, parse_workday_url, pretty_company, snippet_of, stable_job_id, strip_html,
 )
-from vacantia.schema import POSTING, SOURCES
-from vacantia.session import cut
+from vacantia.schema import BOARD_SOURCES, POSTING, SOURCES
+from vacantia.session import cut, stored
 
-# Payload schemas. Ids, amounts and epochs may arrive as number or text, so they are read as text.
-GREENHOUSE = """struct<jobs:array<struct<id:string,title:string,location:struct<name:string>,
- absolute_url:string,content:string,first_published:string,updated_at:string>>,_bad:string>"""
+# Items of the feeds. Ids, amounts and epochs may arrive as number or text, so they are read as text.
+GREENHOUSE = """array<struct<id:string,title:string,location:struct<name:string>,
+ absolute_url:string,content:string,first_published:string,updated_at:string>>"""
 LEVER = """array<struct<id:string,text:string,categories:struct<location:string,commitment:string>,
  hostedUrl:string,applyUrl:string,createdAt:string,descriptionPlain:string,description:string,
  workplaceType:string,salaryRange:struct<min:string,max:string,interval:string,currency:string>>>"""
-ASHBY = """struct<jobs:array<struct<id:string,title:string,location:string,jobUrl:string,applyUrl:string,
+ASHBY = """array<struct<id:string,title:string,location:string,jobUrl:string,applyUrl:string,
  publishedAt:string,descriptionHtml:string,descriptionPlain:string,isRemote:boolean,employmentType:string,
  isListed:boolean,compensation:struct<compensationTierSummary:string,
- scrapeableCompensationSalarySummary:string>>>,_bad:string>"""
-WORKDAY_LIST = """struct<jobPostings:array<struct<title:string,externalPath:string,locationsText:string,
- postedOn:string,bulletFields:array<string>>>,_bad:string>"""
-WORKDAY_DETAIL = """struct<jobPostingInfo:struct<title:string,jobDescription:string,startDate:string,
- location:string,timeType:string,externalUrl:string,jobReqId:string,id:string,remoteType:string>,_bad:string>"""
-_OPTIONS = {"columnNameOfCorruptRecord": "_bad"}
-
+ scrapeableCompensationSalarySummary:string>>>"""
+WORKDAY_LIST = """array<struct<title:string,externalPath:string,locationsText:string,
+ postedOn:string,bulletFields:array<string>>>"""
+WORKDAY_DETAIL = """struct<title:string,jobDescription:string,startDate:string,
+ location:string,timeType:string,externalUrl:string,jobReqId:string,id:string,remoteType:string>"""
 
 
 def _either(*cols: Column) -> Column:
@@ -88,28 +86,35 @@ def latest_landed(raw: DataFrame) -> DataFrame:
 
 
 def isolate(raw: DataFrame) -> DataFrame:
-    """``raw`` with ``ok`` narrowed to payloads their feed can read; the rest carries an error.
+    """``raw`` with ``body``, the parsed payload of a board feed (NULL where it isn't JSON), with ``usable``, whether the fetch went
+    through and the address can be used, and with ``ok`` narrowed to payloads their feed can read; the rest carries an error.
 
-    Object feeds need a JSON object, the array feed any JSON, and a workday board a usable URL."""
-    text = F.ltrim(F.coalesce("payload", F.lit("")))
-    valid = F.try_parse_json("payload").isNotNull()
-    is_object = valid & text.startswith("{")
+    Object feeds need a JSON object, the array feed any JSON, and a workday board a usable URL. Readers select by ``usable``, which
+    costs nothing, and find no items in an unreadable body; so a plan that reads a feed parses each payload once."""
+    object_feed = F.col("source").isin("greenhouse", "ashby", "workday")
     where = parse_workday_url(F.col("board"))
-    url_ok = (where["host"] != "") & (where["tenant"] != "") & (where["site"] != "")
-    readable = (
-        F.when(F.col("source").isin("greenhouse", "ashby"), is_object)
-        .when(F.col("source") == "workday", is_object & url_ok)
-        .when(F.col("source") == "lever", valid).otherwise(F.lit(True))
-    )
-    ok = F.coalesce(F.col("ok"), F.lit(False)) & readable
+    url_ok = (F.col("source") != "workday") | ((where["host"] != "") & (where["tenant"] != "") & (where["site"] != ""))
+    starts_well = ~object_feed | F.ltrim(F.coalesce("payload", F.lit(""))).startswith("{")
+    usable = F.coalesce(F.col("ok") & url_ok & starts_well, F.lit(False))
+    body = F.when(F.col("source").isin(*BOARD_SOURCES), F.try_parse_json("payload"))
+    rows = raw.withColumn("usable", usable).withColumn("body", body)
+    ok = F.col("usable") & (~F.col("source").isin(*BOARD_SOURCES) | F.col("body").isNotNull())
     error = F.when(~ok, F.coalesce("error", F.lit("ValueError: unreadable payload")))
-    return raw.withColumn("error", error).withColumn("ok", ok)
+    return rows.withColumn("error", error).withColumn("ok", ok)
+
+
+def parse_once(log: DataFrame) -> DataFrame:
+    """What ``isolate`` gave, written feed by feed: readers scan the bodies of their feed only, counts of boards none.
+
+    The text of a parsed payload isn't written again."""
+    text = F.when(~F.col("source").isin(*BOARD_SOURCES), F.col("payload"))
+    return stored(log.withColumn("payload", text), "landed", "source")
 
 
-def _items(raw: DataFrame, source: str, items: Column, limit: int | None) -> DataFrame:
-    """One row per array item of the feed's readable boards, in feed order."""
-    picked = raw.where((F.col("source") == source) & F.col("ok"))
-    items = F.filter(items, lambda x: x.isNotNull())
+def _items(raw: DataFrame, source: str, path: str, schema: str, limit: int | None, keep=None) -> DataFrame:
+    """One row per array item of the feed's readable boards, in feed order. Items that are no objects are left out."""
+    picked = raw.where((F.col("source") == source) & F.col("usable"))
+    items = F.filter(F.try_variant_get("body", path, schema), lambda x: x.isNotNull() if keep is None else x.isNotNull() & keep(x))
     if limit is not None:
         items = F.slice(items, 1, limit)
     return picked.select("board", "board_ord", F.posexplode(items).alias("pos", "item"))
@@ -117,8 +122,7 @@ def _items(raw: DataFrame, source: str, items: Column, limit: int | None) -> Dat
 
 def read_greenhouse(raw: DataFrame, meta: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``meta`` holds (board, name); boards without a name get a readable slug."""
-    jobs = F.from_json("payload", GREENHOUSE, _OPTIONS)["jobs"]
-    rows = _items(raw, "greenhouse", jobs, limit)
+    rows = _items(raw, "greenhouse", "$.jobs", GREENHOUSE, limit)
     slug = pretty_company(F.col("board"))
     company = slug
     if meta is not None:
@@ -139,8 +143,7 @@ def read_greenhouse(raw: DataFrame, meta: DataFrame | None = None, limit: int |
 
 
 def read_lever(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    is_list = F.ltrim("payload").startswith("[")
-    rows = _items(raw, "lever", F.when(is_list, F.from_json("payload", LEVER)), limit)
+    rows = _items(raw, "lever", "$", LEVER, limit)
     i = F.col("item")
     title = F.coalesce(falsy_to_null(i["text"]), F.lit("Untitled"))
     location, url = _either(i["categories"]["location"]), _either(i["hostedUrl"], i["applyUrl"])
@@ -162,9 +165,7 @@ def read_lever(raw: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def read_ashby(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    jobs = F.from_json("payload", ASHBY, _OPTIONS)["jobs"]
-    listed = F.filter(jobs, lambda x: ~x["isListed"].eqNullSafe(F.lit(False)))
-    rows = _items(raw, "ashby", listed, limit)
+    rows = _items(raw, "ashby", "$.jobs", ASHBY, limit, lambda x: ~x["isListed"].eqNullSafe(F.lit(False)))
     i = F.col("item")
     title = F.coalesce(falsy_to_null(i["title"]), F.lit("Untitled"))
     location, url = _either(i["location"]), _either(i["jobUrl"], i["applyUrl"])
@@ -184,25 +185,35 @@ def read_ashby(raw: DataFrame, limit: int | None = None) -> DataFrame:
         job_type=i["employmentType"], ord=_ord("ashby", F.col("board_ord"), F.col("pos")))
 
 
+def _latest_details(details: DataFrame) -> DataFrame:
+    """(board, path, info, has_info): the latest readable page of each posting; of equal times, any one.
+
+    A page is parsed in one projection. The latest one is kept by an aggregation of its fields, so pages that a landing repeats
+    shrink before the shuffle; nothing is sorted."""
+    at = F.col("fetched_at").cast("timestamp") if "fetched_at" in details.columns else F.lit(None).cast("timestamp")
+    whole = F.ltrim("payload").startswith("{")
+    pages = details.where(F.col("ok") & whole & (F.col("external_path") != "")).select(
+        "board", F.col("external_path").alias("path"), at.alias("at"), F.xxhash64("payload").alias("mark"),
+        F.try_parse_json("payload").alias("body"))
+    # One expression, so that the page is parsed once: unreadable pages carry no struct.
+    page = F.when(F.col("body").isNotNull(), F.struct(F.try_variant_get("body", "$.jobPostingInfo", WORKDAY_DETAIL).alias("info")))
+    pages = pages.select("board", "path", "at", "mark", page.alias("page"))
+    readable = F.when(F.col("page").isNotNull(), F.struct(F.coalesce("at", F.timestamp_seconds(F.lit(-62135596800))), "mark"))
+    best = pages.groupBy("board", "path").agg(F.max_by("page", readable).alias("page"))
+    return best.where("page IS NOT NULL").select("board", "path", F.col("page.info").alias("info"), F.lit(True).alias("has_info"))
+
+
 def read_workday(raw: DataFrame, details: DataFrame | None, now: Column, limit: int | None = None) -> DataFrame:
     """List rows left-joined with their detail record; detail fields win when present.
 
     ``details``: board, external_path, ok, payload and, where pages are fetched again, fetched_at (the latest readable page
     of a posting counts). Without any, the list fields stand alone."""
-    found = F.from_json("payload", WORKDAY_LIST, _OPTIONS)["jobPostings"]
-    rows = _items(raw, "workday", found, limit)
+    rows = _items(raw, "workday", "$.jobPostings", WORKDAY_LIST, limit)
     i = F.col("item")
     rows = rows.withColumn("path", _either(i["externalPath"]))
-    parsed = F.from_json("payload", WORKDAY_DETAIL, _OPTIONS)
-    good = F.col("ok") & parsed["_bad"].isNull() & F.ltrim("payload").startswith("{")
     if details is None:
         details = raw.sparkSession.createDataFrame([], "board string, external_path string, ok boolean, payload string")
-    at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(0)
-    newest = Window.partitionBy("board", "external_path").orderBy(at.desc(), F.xxhash64("payload"))
-    details = details.where(good & (F.col("external_path") != "")).withColumn("_rn", F.row_number().over(newest)).where("_rn = 1")
-    info = details.select(
-        "board", F.col("external_path").alias("path"), parsed["jobPostingInfo"].alias("info"), F.lit(True).alias("has_info"))
-    rows = rows.join(info, ["board", "path"], "left")
+    rows = rows.join(_latest_details(details), ["board", "path"], "left")
     d = F.col("info")
     rows = rows.withColumn("site", parse_workday_url(F.col("board"))).withColumn(
         "text", strip_html(d["jobDescription"]))
