@@ -317,3 +317,39 @@ def test_latest_page_of_a_posting(spark):
     ], "board string, external_path string, ok boolean, payload string, fetched_at timestamp")
     got = {r["path"]: r["info"]["title"] for r in feeds._latest_details(details).collect()}
     assert got == {"/a": "new", "/b": "undated"}
+
+
+def test_keyed_run_expires_restarts_and_keeps_its_state_small(spark, tmp_path, monkeypatch):
+    from vacantia.streaming import incremental as I
+
+    landed, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    words = {"a": "Baker", "b": "Quarry Foreman", "c": "Violin Teacher", "d": "Nurse", "e": "Harbour Pilot"}
+    schema = frame(spark, []).schema
+
+    def start(ids, day):
+        if ids:
+            frame(spark, [posting(i, title=words[i], company=words[i][::-1]) for i in ids]).coalesce(1).write.mode("append").parquet(landed)
+        I.run_keyed(spark.readStream.schema(schema).parquet(landed), out, Criteria(), lambda batch: NOW + timedelta(days=day), checkpoint)
+
+    def published():
+        rows = spark.read.parquet(f"{out}/digest").select("job_id", "batch_id").collect()
+        return ["".join(sorted(r["job_id"] for r in rows if r["batch_id"] == b)) for b in sorted({r["batch_id"] for r in rows})]
+
+    def held():
+        return {r[0] for r in spark.read.format("statestore").load(f"{checkpoint}/digest").select("key.job_id").collect()}
+
+    (tmp_path / "in").mkdir()
+    start("", 0)  # nothing landed so far
+    real = I.digest_order
+    monkeypatch.setattr(I, "digest_order", lambda *a: 1 / 0)
+    with pytest.raises(Exception):
+        start("ab", 0)  # the second stream fails after the first one has ended
+    monkeypatch.setattr(I, "digest_order", real)
+    start("", 0)
+    assert published() == ["ab"]
+    start("ac", 1)
+    assert published() == ["ab", "c"] and held() == set("abc")
+    start("ad", 300)
+    assert published() == ["ab", "c", "d"] and held() == {"d"}
+    start("ae", 301)
+    assert published() == ["ab", "c", "d", "ae"] and held() == set("ade")
