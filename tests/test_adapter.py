@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.sources import feeds
-from vacantia.sources.adapter import BoardFeed, FolderFeed
+from vacantia.sources.adapter import BoardFeed, FolderFeed, land_payloads
 
 
 class Shelf(BoardFeed):
@@ -58,3 +58,24 @@ def test_folder_of_payloads(spark, tmp_path):
     got = {r["board"]: r for r in spark.read.format("board_folder").option("path", path).load().collect()}
     assert got["a b/ü"]["payload"].split() == ["[1", ",2]"] and got["x=%"]["payload"] == "{}\n"
     assert (got["empty"]["ok"], got["empty"]["error"]) == (False, "FileNotFoundError: no payload of empty")
+
+
+def test_payloads_landed_by_tasks_lie_as_spark_writes_them(spark, tmp_path):
+    rows = [(1, "a b/ü", "[1]"), (2, "a b/ü", "[2]"), (1, "x=%", "{}"), (1, "q:'*?\\\"#{[]^\x01~", "y"), (1, None, "z"), (1, "none", None)]
+    df = spark.createDataFrame(rows, "fetched_ms long, board string, value string")
+    mine, plain = str(tmp_path / "mine"), str(tmp_path / "plain")
+    for _ in range(2):  # what is landed again replaces itself
+        land_payloads(df, mine)
+    df.write.partitionBy("fetched_ms", "board").text(plain)
+    spark.dataSource.register(FolderFeed)
+    got, want = (sorted(map(tuple, spark.read.format("board_folder").option("path", p).load().collect())) for p in (mine, plain))
+    assert got == want and len(got) == 5
+
+
+def test_tasks_of_many_boards_are_bounded(spark):
+    from vacantia.sources.adapter import _dealt
+
+    for boards in (0, 1, 17, 16_385, 120_000):
+        tasks = _dealt(Shelf({}), [(str(i), i, 1) for i in range(boards)])
+        assert len(tasks) <= 1024 and [b for t in tasks for b, _, _ in t.boards] == [str(i) for i in range(boards)]
+        assert all(len(t.boards) <= max(16, -(-boards // 1024)) for t in tasks)

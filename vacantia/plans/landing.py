@@ -11,7 +11,7 @@ from vacantia.plans.daily import run_landing
 from vacantia.schema import RAW
 from vacantia.session import scratch_path
 from vacantia.sources import feeds
-from vacantia.sources.adapter import FolderFeed
+from vacantia.sources.adapter import FolderFeed, land_payloads
 from vacantia.sources.registry import READERS, FeedSettings, Landing, register_feed
 
 c = F.col
@@ -326,7 +326,7 @@ def _land_events(spark, sf, path: str, version: int, only=None) -> None:
     body = F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]))  # of 50 rows
     boards = rows.groupBy(n.alias("n")).agg(body.alias("items")).select(
         F.when(c("n") % 7 == 0, "{oops").otherwise(c("items")).alias("value"), F.lit(version).alias("fetched_ms"), F.concat(F.lit("team "), c("n"), F.lit("/x")).alias("board"))
-    boards.write.mode("append").partitionBy("fetched_ms", "board").text(path)
+    land_payloads(boards, path)
 
 
 def feed_source(spark, sf):

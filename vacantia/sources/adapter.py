@@ -1,21 +1,26 @@
 """Feed adapter: a user's feed as a Spark data source, read in batches or as a stream.
 
 A feed names its boards with their newest version and fetches one version of one board. Both readers give rows of ``schema.RAW``, one
-a board, so everything from ``isolate`` on works as with landed payloads. Boards are fetched inside tasks, ``boardsPerTask`` (16) at
-a time; a board whose fetch fails gives a row with its error and harms no other.
+a board, so everything from ``isolate`` on works as with landed payloads. Boards are fetched inside tasks, ``boardsPerTask`` at a time
+(16, or more where that would make over 1,024 tasks); a board whose fetch fails gives a row with its error and harms no other.
 
 As a stream, an offset holds the version of each board, and a batch reads the boards whose version has changed, at exactly the
 version of its end: a replayed batch asks for the same payloads. Of several versions between two batches the newest counts, as
 everywhere in a run. A board that the feed no longer names is left out and comes back when it is named again with a new version."""
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import unquote
 
 from pyarrow.fs import FileSelector, FileSystem
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from vacantia.session import wide
+
 _DDL = "source string, board string, board_ord int, fetched_at timestamp, ok boolean, error string, payload string"
 
 
@@ -52,7 +57,7 @@ class BoardFeed(DataSource):
 
 
 def _dealt(feed: BoardFeed, boards: list[tuple[str, int, int]]) -> list[Boards]:
-    size = int(feed.options.get("boardsPerTask", "16"))
+    size = int(feed.options.get("boardsPerTask") or max(16, -(-len(boards) // 1024)))
     return [Boards(boards[i : i + size]) for i in range(0, len(boards), size)]
 
 
@@ -106,8 +111,32 @@ def _opened(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path)
 
 
+def _folder(name: str, value: object) -> str:
+    """A folder's name as ``partitionBy`` gives it."""
+    text = "" if value is None else re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", str(value))
+    return f"{name}={text or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def land_payloads(df: DataFrame, path: str) -> None:
+    """Rows (value, fetched_ms, board), one for each board and version, as ``FolderFeed`` reads them.
+
+    With a file a board the cost is that of making files: tasks, dealt by number, write them where they stay, without a checksum file
+    and without a second move by the driver. A file appears whole, and one that a task writes again replaces itself."""
+    def write(rows: Iterator[Row]) -> None:
+        system, top = _opened(path)
+        for row in rows:
+            folder = f"{top}/{_folder('fetched_ms', row.fetched_ms)}/{_folder('board', row.board)}"
+            system.create_dir(folder, recursive=True)
+            hidden = f"{folder}/.{os.urandom(6).hex()}"
+            with system.open_output_stream(hidden) as out:
+                out.write(f"{row.value or ''}\n".encode())
+            system.move(hidden, f"{folder}/part-00000.txt")
+
+    df.repartition(wide(df.sparkSession), "board").foreachPartition(write)
+
+
 class FolderFeed(BoardFeed):
-    """Payloads in a shared folder, as ``df.write.partitionBy("fetched_ms", "board").text(path)`` lays them down: option ``path``.
+    """Payloads in a shared folder, as ``land_payloads`` or ``df.write.partitionBy("fetched_ms", "board").text(path)`` lays them down: option ``path``.
 
     A payload may have several lines and lie in several files, which are joined in the order of their names. Boards are read in the
     order of their folders' names."""
