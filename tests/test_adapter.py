@@ -79,3 +79,11 @@ def test_tasks_of_many_boards_are_bounded(spark):
         tasks = _dealt(Shelf({}), [(str(i), i, 1) for i in range(boards)])
         assert len(tasks) <= 1024 and [b for t in tasks for b, _, _ in t.boards] == [str(i) for i in range(boards)]
         assert all(len(t.boards) <= max(16, -(-boards // 1024)) for t in tasks)
+
+
+def test_tasks_of_a_folder_read_many_boards():
+    from vacantia.sources.adapter import _dealt
+
+    for boards in (16_000, 720_000):  # reading a file is cheap beside a task of a stream, which also writes a file
+        tasks = _dealt(FolderFeed({"path": "/x"}), [(str(i), i, 1) for i in range(boards)])
+        assert len(tasks) == -(-boards // 1024) and [b for t in tasks for b, _, _ in t.boards] == [str(i) for i in range(boards)]

@@ -2,7 +2,7 @@
 
 A feed names its boards with their newest version and fetches one version of one board. Both readers give rows of ``schema.RAW``, one
 a board, so everything from ``isolate`` on works as with landed payloads. Boards are fetched inside tasks, ``boardsPerTask`` at a time
-(16, or more where that would make over 1,024 tasks); a board whose fetch fails gives a row with its error and harms no other.
+(the feed's ``per_task``, or more where that would make over 1,024 tasks); a board whose fetch fails gives a row with its error and harms no other.
 
 As a stream, an offset holds the version of each board, and a batch reads the boards whose version has changed, at exactly the
 version of its end: a replayed batch asks for the same payloads. Of several versions between two batches the newest counts, as
@@ -34,6 +34,9 @@ class Boards(InputPartition):
 class BoardFeed(DataSource):
     """Subclass with ``name``, ``versions`` and ``fetch``; options are in ``self.options``."""
 
+    #: Boards of a task: a fetch is taken to be slow beside the start of a task.
+    per_task = 16
+
     def versions(self) -> dict[str, int]:
         """Boards in feed order with the time of their newest version (milliseconds since 1970). Runs on the driver."""
         raise NotImplementedError
@@ -57,7 +60,7 @@ class BoardFeed(DataSource):
 
 
 def _dealt(feed: BoardFeed, boards: list[tuple[str, int, int]]) -> list[Boards]:
-    size = int(feed.options.get("boardsPerTask") or max(16, -(-len(boards) // 1024)))
+    size = int(feed.options.get("boardsPerTask") or max(feed.per_task, -(-len(boards) // 1024)))
     return [Boards(boards[i : i + size]) for i in range(0, len(boards), size)]
 
 
@@ -141,6 +144,9 @@ class FolderFeed(BoardFeed):
     A payload may have several lines and lie in several files, which are joined in the order of their names. Boards are read in the
     order of their folders' names."""
 
+    #: Reading a small file costs a thousandth of starting a task and writing its output.
+    per_task = 1024
+
     @classmethod
     def name(cls) -> str:
         return "board_folder"
